@@ -92,6 +92,22 @@ def trailing_number(c: str | Column) -> Column:
     return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def summed_levels(cells: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Sums per single key and overall: level (a key's name or "all"), key, measures."""
+    by = [F.col(k) for k in keys]
+    level = F.when(F.grouping(keys[0]) == 0, keys[0])
+    for k in keys[1:]:
+        level = level.when(F.grouping(k) == 0, k)
+    sums = cells.groupingSets([*[[c] for c in by], []], *by).agg(
+        level.otherwise("all").alias("level"), *[F.sum(m).alias(m) for m in measures]
+    )
+    return (
+        sums.withColumn("key", F.coalesce(*keys))
+        .filter((F.col("level") == "all") | F.col("key").isNotNull())
+        .select("level", "key", *measures)
+    )
+
+
 def money_as_double(df: DataFrame) -> DataFrame:
     """Cast every decimal column to double, the form results are compared in."""
     return df.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import (
-    count_rows, differs, exceeds, fails_pattern, month_text, total,
+    count_rows, differs, exceeds, fails_pattern, month_text, summed_levels, total,
 )
 from closebooks.operators.issues import Check, issue_rows
 from closebooks.operators.skew import key_presence
@@ -63,35 +63,21 @@ def gst_tax_summary(gst: DataFrame) -> DataFrame:
 
 
 def gst_summary_levels(gst: DataFrame) -> DataFrame:
-    """Vendor, month and overall figures from a single scan (grouping sets).
+    """Vendor, month and overall figures from a single scan.
 
-    level is vendor, month or all; key is the vendor or month, null for all.
+    level is vendor, month or all; key is the vendor or month, null for all. Rows are
+    summed per vendor and month first; the grouping sets then copy only those sums.
     """
-    keyed = gst.select(
-        F.col("vendor_name").alias("vendor"), month_text("invoice_date").alias("month"),
-        "total_amount", "cgst_amount", "sgst_amount", "igst_amount", "itc_eligible",
-    )
-    vendor, month = F.col("vendor"), F.col("month")
-    level = (
-        F.when(F.grouping("vendor") == 0, "vendor")
-        .when(F.grouping("month") == 0, "month")
-        .otherwise("all")
-    )
-    sets = keyed.groupingSets([[vendor], [month], []], vendor, month).agg(
-        level.alias("level"),
+    cells = gst.groupBy(
+        F.col("vendor_name").alias("vendor"), month_text("invoice_date").alias("month")
+    ).agg(
         *_invoice_measures(),
         total("cgst_amount").alias("cgst"),
         total("sgst_amount").alias("sgst"),
         total("igst_amount").alias("igst"),
     )
-    return (
-        sets.withColumn("key", F.coalesce("vendor", "month"))
-        .filter((F.col("level") == "all") | F.col("key").isNotNull())
-        .select(
-            "level", "key", "total_invoices", "total_amount", "total_tax",
-            "eligible_itc", "ineligible_itc", "cgst", "sgst", "igst",
-        )
-    )
+    measures = [c for c in cells.columns if c not in ("vendor", "month")]
+    return summed_levels(cells, ["vendor", "month"], measures)
 
 
 def _calculated_total() -> Column:

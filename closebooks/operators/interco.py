@@ -118,3 +118,20 @@ def interco_amount_mismatch(
             )
         )
     )
+
+
+def interco_counts(ic: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) -> DataFrame:
+    """Number of unbalanced pairs and of journals without a counterparty, from one scan.
+
+    Rows with a counterparty are grouped by pair, those without by journal.
+    """
+    paired = F.col("counterparty").isNotNull()
+    groups = ic.groupBy(
+        F.when(paired, F.col("entity")).alias("entity"), "counterparty",
+        F.when(~paired, F.col("journal_id")).alias("journal"),
+    ).agg(total("amount").alias("amount"))
+    open_pair = paired & F.col("entity").isNotNull() & exceeds(F.col("amount"), tolerance)
+    return groups.agg(
+        F.count_if(open_pair).alias("mismatches"),
+        F.count_if(~paired & F.col("journal").isNotNull()).alias("missing_counterparties"),
+    )

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from closebooks.functions.exprs import any_null
+
 
 def _nothing() -> Column:
     return F.lit(None)
@@ -26,7 +28,11 @@ class Check:
 
 
 def issue_rows(df: DataFrame, keys: list[str | Column], checks: list[Check]) -> DataFrame:
-    """keys + issue, expected, actual, value; rows that pass all checks vanish early."""
+    """keys + issue, expected, actual, value; rows that pass all checks vanish early.
+
+    Each remaining row is laid out once per check and the passed ones dropped. That
+    stays in generated code, unlike thinning the array with a lambda.
+    """
     found = [
         F.when(
             c.fails,
@@ -39,15 +45,17 @@ def issue_rows(df: DataFrame, keys: list[str | Column], checks: list[Check]) ->
         )
         for c in checks
     ]
-    return df.filter(reduce(or_, [c.fails for c in checks])).select(
-        *keys, F.inline(F.array_compact(F.array(*found)))
-    )
+    failing = df.filter(reduce(or_, [c.fails for c in checks]))
+    return failing.select(*keys, F.inline(F.array(*found))).filter(F.col("issue").isNotNull())
 
 
 def null_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """keys + field: one row per null cell among `fields`, from one scan."""
     empty = [F.when(F.col(c).isNull(), F.lit(c)) for c in fields]
-    return df.select(*keys, F.explode(F.array_compact(F.array(*empty))).alias("field"))
+    some = df.filter(any_null(df, fields))
+    return some.select(*keys, F.explode(F.array(*empty)).alias("field")).filter(
+        F.col("field").isNotNull()
+    )
 
 
 def null_field_counts(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,11 +13,11 @@ from closebooks import fixed_values as V
 from closebooks.functions.exprs import exceeds, percent_change, quarter_text, total
 from closebooks.operators import consolidation as con
 from closebooks.operators.gst import gst_return_counts
-from closebooks.operators.interco import interco_mismatches, interco_missing_counterparty
+from closebooks.operators.interco import interco_counts
 from closebooks.operators.issues import null_fields
 from closebooks.operators.journals import journal_status
 from closebooks.operators.provisions import provision_overdue, provision_spikes
-from closebooks.operators.tds import tds_group_check
+from closebooks.operators.tds import tds_counts
 
 
 def statement_totals(ctb: DataFrame) -> DataFrame:
@@ -125,12 +126,12 @@ def _text(check: str, n: Column, detail: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def _warning(df: DataFrame, figures: dict[str, Column], detail: Column | None = None) -> DataFrame:
+def _warning(df: DataFrame, figures: dict[str, Column], **details: Column) -> DataFrame:
     """One-row frame of counts to rows check, n, message."""
     rows = [
         F.struct(
             F.lit(check).alias("check"), n.cast("bigint").alias("n"),
-            _text(check, n, detail if detail is not None else F.lit(None)).alias("message"),
+            _text(check, n, details.get(check, F.lit(None))).alias("message"),
         )
         for check, n in figures.items()
     ]
@@ -143,54 +144,51 @@ def close_checks(
 ) -> DataFrame:
     """check, n, message for every check of the close, zero counts included.
 
-    Each source is reduced to a one-row count frame by a scan of its own.
+    All checks of a source are figures of one aggregate, so each source is scanned
+    once (the intercompany table once more for the eliminations).
     """
-    def count_of(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
     ctb = con.consolidated_tb(tb, interco)
-    status = journal_status(journals)
     structure = ctb.agg(
         total(F.when(con.in_balance_sheet(), F.col("net_amount"))).alias("difference"),
         F.count_if(
             ~(con.in_balance_sheet() | con.in_profit_loss() | con.in_cash_flow())
         ).alias("unclassified"),
     )
-    n = F.col("n")
+    difference = F.col("difference")
+    count = F.count(F.lit(1)).alias("n")
     frames = [
-        _warning(status, {
+        _warning(journal_status(journals), {
             "journal_null_fields": F.col("null_fields"),
             "journal_balance": (~F.col("balanced")).cast("int"),
             "journal_duplicates": F.col("duplicates"),
         }),
         _warning(
             structure,
-            {"balance_sheet": exceeds(F.col("difference"), V.MONEY_TOLERANCE).cast("int")},
-            F.col("difference").cast("decimal(38,2)"),
-        ),
-        _warning(structure, {"unclassified_accounts": F.col("unclassified")}),
-        _warning(count_of(interco_mismatches(interco)), {"interco_mismatches": n}),
-        _warning(
-            count_of(interco_missing_counterparty(interco)),
-            {"interco_missing_counterparties": n},
+            {
+                "balance_sheet": exceeds(difference, V.MONEY_TOLERANCE).cast("int"),
+                "unclassified_accounts": F.col("unclassified"),
+            },
+            balance_sheet=difference.cast("decimal(38,2)"),
         ),
+        _warning(interco_counts(interco), {
+            "interco_mismatches": F.col("mismatches"),
+            "interco_missing_counterparties": F.col("missing_counterparties"),
+        }),
         _warning(gst_return_counts(gst_return), {
             "gst_mismatches": F.col("mismatches"),
             "gst_missing_invoices": F.col("missing_invoices"),
             "gst_excess_itc": F.col("excess_itc"),
         }),
-        _warning(count_of(tds_group_check(tds)), {"tds_deduction_mismatches": n}),
+        _warning(tds_counts(tds), {
+            "tds_deduction_mismatches": F.col("deduction_mismatches"),
+            "tds_missing_challans": F.col("missing_challans"),
+        }),
         _warning(
-            tds.agg(F.count_if(F.col("challan_number").isNull()).alias("n")),
-            {"tds_missing_challans": n},
+            provision_overdue(provisions, as_of).agg(count), {"provisions_missing": F.col("n")}
         ),
-        _warning(count_of(provision_overdue(provisions, as_of)), {"provisions_missing": n}),
-        _warning(count_of(provision_spikes(history)), {"provision_spikes": n}),
+        _warning(provision_spikes(history).agg(count), {"provision_spikes": F.col("n")}),
     ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return reduce(DataFrame.unionByName, frames)
 
 
 def close_warnings(*args, **kwargs) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import (
-    choose, count_rows, exceeds, fails_pattern, is_blank, month_text, total,
+    choose, count_rows, exceeds, fails_pattern, is_blank, month_text, summed_levels, total,
 )
 from closebooks.operators.issues import Check, issue_rows
 
@@ -56,28 +56,16 @@ def tds_monthly_summary(tds: DataFrame) -> DataFrame:
 
 
 def tds_summary_levels(tds: DataFrame) -> DataFrame:
-    """Vendor, section, month and overall figures from a single scan."""
-    keyed = tds.select(
+    """Vendor, section, month and overall figures from a single scan.
+
+    Summed per vendor, section and month first, then by grouping sets over the sums.
+    """
+    keys = ["vendor", "section", "month"]
+    cells = tds.groupBy(
         F.col("vendor_name").alias("vendor"), F.col("section_code").alias("section"),
         month_text("transaction_date").alias("month"),
-        "tds_amount", "payment_amount", "status",
-    )
-    names = ("vendor", "section", "month")
-    level = F.when(F.grouping("vendor") == 0, "vendor")
-    for name in names[1:]:
-        level = level.when(F.grouping(name) == 0, name)
-    cols = [F.col(n) for n in names]
-    sets = keyed.groupingSets([*[[c] for c in cols], []], *cols).agg(
-        level.otherwise("all").alias("level"), *_challan_measures()
-    )
-    return (
-        sets.withColumn("key", F.coalesce(*names))
-        .filter((F.col("level") == "all") | F.col("key").isNotNull())
-        .select(
-            "level", "key", "total_challans", "total_tds", "total_payment",
-            *[s.lower() for s in V.TDS_STATUSES],
-        )
-    )
+    ).agg(*_challan_measures())
+    return summed_levels(cells, keys, [c for c in cells.columns if c not in keys])
 
 
 def tds_thresholds(
@@ -159,6 +147,23 @@ def tds_group_check(
     )
 
 
+def tds_counts(
+    tds: DataFrame, rates: Mapping[str, Decimal] = V.TDS_GROUP_RATES,
+    tolerance: Decimal = V.MONEY_TOLERANCE,
+) -> DataFrame:
+    """Sizes of the group check and of the missing challans, from one scan."""
+    groups = tds.groupBy("pan", "section_code").agg(
+        total("tds_amount").alias("tax"),
+        F.count_if(F.col("challan_number").isNull()).alias("without"),
+    )
+    keyed = F.col("pan").isNotNull() & F.col("section_code").isNotNull()
+    off = exceeds(_expected(F.col("tax"), rates) - F.col("tax"), tolerance)
+    return groups.agg(
+        F.count_if(keyed & off).alias("deduction_mismatches"),
+        F.coalesce(F.sum("without"), F.lit(0)).alias("missing_challans"),
+    )
+
+
 def tds_missing_challan(tds: DataFrame) -> DataFrame:
     return tds.filter(F.col("challan_number").isNull()).select(
         "rid", "pan", "section_code", "tds_amount"
