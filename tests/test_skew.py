@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from closebooks.operators.skew import (
+    flag_hot, first_per_key, hot_keys, key_presence, lookup_join,
+)
+from tests.conftest import rows
+
+
+@pytest.fixture
+def split_settings(spark):
+    """Make a small hot key look as large as one that needs splitting."""
+    settings = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_a_key_with_a_third_of_the_rows_is_split(spark, split_settings, how):
+    facts = spark.range(0, 300_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.md5(F.col("id").cast("string").cast("binary")).alias("payload"),
+    )
+    lookup = spark.range(0, 100_000, 1, 4).groupBy((F.col("id") % 50_000).alias("k")).agg(
+        F.max("id").alias("v"))
+    joined = lookup_join(facts, lookup, ["k"], how).agg(F.max("payload"), F.count("*"))
+    result = joined.collect()[0][1]
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "skew=true" in plan
+    hits = 100_000 + sum(1 for i in range(50_000) if i % 3)
+    assert result == (300_000 - hits if how == "left_anti" else hits)
+
+
+def test_lookup_join_equals_the_plain_join(spark):
+    facts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    lookup = spark.createDataFrame([(1, 10), (3, 30)], "k int, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(lookup_join(facts, lookup, ["k"], how)) == rows(facts.join(lookup, "k", how))
+    with pytest.raises(ValueError):
+        lookup_join(facts, lookup, ["k"], "full")
+    with pytest.raises(TypeError):
+        lookup_join(facts, lookup.withColumn("k", F.col("k").cast("long")), ["k"])
+
+
+def test_hot_keys_are_bounded_and_largest_first(spark):
+    df = spark.range(100).select((F.col("id") % 7 % 4).alias("k"))
+    assert rows(hot_keys(df, ["k"], hot_rows=20)) == [(0,), (1,), (2,)]
+    assert hot_keys(df, ["k"], hot_rows=0, max_keys=2).count() == 2
+    assert flag_hot(df, ["k"], "hot", hot_rows=20).filter("hot").count() == 86
+
+
+def test_key_presence(spark):
+    left = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    right = spark.createDataFrame([("b",), ("c",)], "k string")
+    assert rows(key_presence(left, right, ["k"])) == [
+        ("a", True, False), ("b", True, True), ("c", False, True)]
+
+
+def test_first_per_key(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", 5, "y")],
+                               "k string, o int, v string")
+    assert rows(first_per_key(df, ["k"], F.col("o"), ["v"])) == [("a", None), ("b", "y")]
