@@ -219,7 +219,7 @@ where (h.known = 0 and h.amount > 0)
 select cast(entry_date as varchar) "timestamp", entity "user", type "action",
   cast(amount as double) amount, account, journal_id,
   'Auto-log for ' || type || ' entry.' "comment"
-from journals_clean where entity = 'ENT005' and type = 'Debit'""",
+from journals_clean where entity = 'ENT015' and type = 'Debit'""",
     "overdue": """
 select expense_category, vendor_name, last_provision_date, expected_date,
   date_diff('day', expected_date, date '2001-06-30') days_overdue

@@ -39,7 +39,7 @@ def _statement_values(v: SampleViews) -> DataFrame:
 
 def _logs(v: SampleViews) -> DataFrame:
     return audit.audit_log_entries(
-        jn.journal_dropna(v.journals), user="ENT005", action="Debit"
+        jn.journal_dropna(v.journals), user="ENT015", action="Debit"
     )
 
 

@@ -7,7 +7,9 @@ code such as a tax section never turns into a number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -117,18 +119,25 @@ def _files(spark: SparkSession, folder: str) -> list[str]:
         listing = (
             spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
         )
-        return sorted(r.path for r in listing.select("path").collect())
+        return sorted(literal_path(r.path) for r in listing.select("path").collect())
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
 
 
+def literal_path(path: str) -> str:
+    """A path whose brackets, stars and the like are not a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def by_layout(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths grouped by the header line of their file."""
+    """Paths grouped by the header line of their file; headers are read side by side."""
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        layouts.setdefault(tuple(_text_csv(spark, path).columns), []).append(path)
+    with ThreadPoolExecutor(8) as pool:
+        headers = pool.map(lambda p: tuple(_text_csv(spark, p).columns), paths)
+        for path, header in zip(paths, headers):
+            layouts.setdefault(header, []).append(path)
     return list(layouts.values())
 
 

@@ -14,16 +14,18 @@ only what older batches stored: rows are kept exactly once.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from closebooks.schemas import BATCH_KEYS, TABLE_SCHEMAS
 from closebooks.sources.csv_files import (
-    by_layout, missing_columns, snake_header, text_rows, typed,
+    by_layout, literal_path, missing_columns, snake_header, text_rows, typed,
 )
 
 # --- Fixed values: layout of the file source, and reasons in the outcome log --
@@ -36,9 +38,12 @@ REASON_EARLIER = "keys in an earlier file"
 _OUTCOME = "file string, status string, reason string, row_count bigint"
 
 
-def stored_rows(spark: SparkSession, store: str, table: str, before: int | None = None):
+def stored_rows(
+    spark: SparkSession, store: str, table: str, before: int | None = None
+) -> DataFrame | None:
     """What the stream has stored, or None; optionally of older batches only."""
-    schema = TABLE_SCHEMAS[table].add("ingest_batch", "bigint")
+    batch = T.StructField("ingest_batch", T.LongType())
+    schema = T.StructType([*TABLE_SCHEMAS[table].fields, batch])
     try:
         rows = spark.read.schema(schema).parquet(store)
     except AnalysisException as e:
@@ -48,19 +53,46 @@ def stored_rows(spark: SparkSession, store: str, table: str, before: int | None
     return rows if before is None else rows.filter(F.col("ingest_batch") < before)
 
 
-def _read(spark: SparkSession, paths: list[str], table: str) -> tuple[DataFrame | None, list[str]]:
-    """Typed rows of the well-formed files, and the files that lack columns."""
+@dataclass(frozen=True)
+class _File:
+    """An upload: its path for reading, and the name Spark gives its rows' source."""
+
+    path: str
+    source: str
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> list[_File]:
+    """The files, oldest first. Names only: the content column is never read."""
+    found = (
+        spark.read.format("binaryFile").load([literal_path(p) for p in sorted(set(paths))])
+        .select("path", "modificationTime", F.col("_metadata.file_path").alias("source"))
+        .distinct().orderBy("modificationTime", "path")
+    )
+    return [_File(r["path"], r["source"]) for r in found.collect()]
+
+
+def _read(
+    spark: SparkSession, files: list[_File], table: str
+) -> tuple[DataFrame | None, set[int]]:
+    """Typed rows of the well-formed files, numbered by file; files that lack columns."""
     schema = TABLE_SCHEMAS[table]
     needed = [c for c in schema.names if c != "id"]
-    frames, lacking = [], []
-    for group in by_layout(spark, paths):
+    number = {literal_path(f.path): i for i, f in enumerate(files)}
+    frames, lacking = [], set()
+    for group in by_layout(spark, list(number)):
         text = text_rows(spark, group, snake_header)
         if missing_columns(text, needed):
-            lacking += group
+            lacking |= {number[p] for p in group}
         else:
             frames.append(typed(text, schema, rejects="_unreadable"))
-    rows = reduce(lambda a, b: a.unionByName(b), frames) if frames else None
-    return rows, lacking
+    if not frames:
+        return None, lacking
+    names = spark.createDataFrame(
+        [(f.source, i) for i, f in enumerate(files)], "_source_file string, _file int"
+    )
+    rows = reduce(DataFrame.unionByName, frames)
+    # The broadcast side has as many rows as the micro-batch has files.
+    return rows.join(F.broadcast(names), "_source_file", "left"), lacking
 
 
 def _shared_pairs(keys: DataFrame, key: str) -> set[tuple[int, int]]:
@@ -79,17 +111,17 @@ def _shared_pairs(keys: DataFrame, key: str) -> set[tuple[int, int]]:
 
 
 def _refused_by_key(
-    keys: DataFrame, key: str, stored: list[DataFrame], order: list[int], out: set[int]
+    keys: DataFrame, key: str, stored: list[DataFrame], files: int, out: set[int]
 ) -> dict[int, str]:
     """Reason per refused file: a file loses to the store and to accepted earlier files."""
     refused: dict[int, str] = {}
     for known in stored:
         there = known.select(key).filter(F.col(key).isNotNull()).distinct()
         hits = keys.join(there, key, "left_semi").select("_file").distinct().collect()
-        refused |= {r["_file"]: REASON_STORED for r in hits}
+        refused |= {r["_file"]: REASON_STORED for r in hits if r["_file"] not in out}
     pairs = _shared_pairs(keys, key)
     accepted: set[int] = set()
-    for f in order:
+    for f in range(files):
         if f in out or f in refused:
             continue
         if any((a, f) in pairs for a in accepted):
@@ -103,21 +135,18 @@ def ingest_files(
     spark: SparkSession, paths: list[str], table: str, store: str, log: str, batch_id: int,
     known: DataFrame | None = None,
 ) -> None:
-    """Take one micro-batch of files, in the given order. Safe to repeat."""
+    """Take one micro-batch of files, oldest first. Safe to repeat."""
     key = BATCH_KEYS.get(table)
-    rows, lacking = _read(spark, paths, table)
-    number = {p: i for i, p in enumerate(paths)}
-    reasons: dict[int, str] = {number[p]: REASON_COLUMNS for p in lacking}
+    files = _listed(spark, paths)
+    rows, lacking = _read(spark, files, table)
+    reasons: dict[int, str] = dict.fromkeys(lacking, REASON_COLUMNS)
     counts: dict[int, int] = {}
     if rows is not None:
-        files = spark.createDataFrame(
-            [(p, i) for p, i in number.items()], "_source_file string, _file int"
-        )
-        # As many rows as the micro-batch has files.
-        rows = rows.join(F.broadcast(files), "_source_file")
         for r in rows.groupBy("_file").agg(
             F.count(F.lit(1)).alias("n"), F.bool_or(F.size("_unreadable") > 0).alias("bad")
         ).collect():
+            if r["_file"] is None:
+                raise RuntimeError("rows from a file that is not in the batch")
             counts[r["_file"]] = r["n"]
             if r["bad"]:
                 reasons[r["_file"]] = REASON_VALUES
@@ -125,18 +154,15 @@ def ingest_files(
             keys = rows.select("_file", key).filter(F.col(key).isNotNull()).distinct()
             older = stored_rows(spark, store, table, before=batch_id)
             stored = [d for d in (older, known) if d is not None]
-            reasons |= _refused_by_key(
-                keys, key, stored, list(range(len(paths))), set(reasons)
-            )
-        taken = [i for i in range(len(paths)) if i not in reasons]
-        names = TABLE_SCHEMAS[table].names
+            reasons |= _refused_by_key(keys, key, stored, len(files), set(reasons))
+        taken = [i for i in range(len(files)) if i not in reasons]
         (
-            rows.filter(F.col("_file").isin(taken)).select(*names)
+            rows.filter(F.col("_file").isin(taken)).select(*TABLE_SCHEMAS[table].names)
             .write.mode("overwrite").parquet(f"{store}/ingest_batch={batch_id}")
         )
     outcome = [
-        (p, "refused" if i in reasons else "accepted", reasons.get(i), counts.get(i, 0))
-        for p, i in number.items()
+        (f.source, "refused" if i in reasons else "accepted", reasons.get(i), counts.get(i, 0))
+        for i, f in enumerate(files)
     ]
     (
         spark.createDataFrame(outcome, _OUTCOME).coalesce(1)
@@ -155,17 +181,14 @@ def ingest_stream(
     paths = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
         .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files)
-        .load(folder).select("path", "modificationTime")
+        .load(folder).select("path")
     )
 
     def take(batch: DataFrame, batch_id: int) -> None:
         # At most max_files names; the rows are read by the executors.
-        found = batch.orderBy("modificationTime", "path").collect()
+        found = [r["path"] for r in batch.collect()]
         if found:
-            ingest_files(
-                batch.sparkSession, [r["path"] for r in found], table, store, log,
-                batch_id, known,
-            )
+            ingest_files(batch.sparkSession, found, table, store, log, batch_id, known)
 
     return (
         paths.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

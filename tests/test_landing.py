@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import os
+from urllib.parse import unquote
+
+import pytest
+
+from closebooks.streaming.landing import ingest_files, ingest_stream, stored_rows
+from tests.conftest import rows
+
+HEADER = "Journal Id,transaction_date,account_code,account_name,debit_amount,credit_amount,entity,description\n"
+TABLE = "journal_entries"
+
+
+class Landing:
+    def __init__(self, spark, home):
+        self.spark, self.folder = spark, home / "in"
+        self.folder.mkdir()
+        self.store, self.log = str(home / "store"), str(home / "log")
+        self.checkpoint = str(home / "checkpoint")
+        self.clock = 1_700_000_000
+
+    def put(self, name, *ids, header=HEADER, day="2024-01-01"):
+        path = self.folder / name
+        path.write_text(header + "".join(f"{i},{day},A,Cash,1,0,E1,x\n" for i in ids))
+        self.clock += 10
+        os.utime(path, (self.clock, self.clock))
+
+    def run(self, **kw):
+        q = ingest_stream(self.spark, str(self.folder), TABLE, self.store, self.log,
+                          self.checkpoint, **kw)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def ids(self):
+        return [r[0] for r in rows(stored_rows(self.spark, self.store, TABLE), "journal_id")]
+
+    def outcome(self):
+        log = self.spark.read.parquet(self.log)
+        return {unquote(os.path.basename(r.file)): (r.status, r.reason, r.row_count)
+                for r in log.collect()}
+
+
+@pytest.fixture
+def landing(spark, tmp_path):
+    return Landing(spark, tmp_path)
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_uploads_are_taken_or_refused_whole(landing, max_files):
+    landing.put("1.csv", "J1", "J1", "J2")
+    landing.put("2.csv", "J2", "J3")
+    landing.put("3.csv", "J3", "J4")
+    landing.put("4.csv", "J5", day="soon")
+    landing.put("5.csv", "J5", header="a,b,c,d,e,f,g,h\n")
+    landing.put("6.txt", "J6")
+    landing.put("7 odd [x]%20.csv", "J7")
+    landing.run(max_files=max_files)
+    # 2 loses to 1, so 3 is free to bring J3.
+    assert landing.ids() == ["J1", "J1", "J2", "J3", "J4", "J7"]
+    first = "keys in an earlier file" if max_files > 1 else "keys already stored"
+    assert landing.outcome() == {
+        "1.csv": ("accepted", None, 3), "2.csv": ("refused", first, 2),
+        "3.csv": ("accepted", None, 2), "4.csv": ("refused", "unreadable values", 1),
+        "5.csv": ("refused", "missing columns", 0),
+        "7 odd [x]%20.csv": ("accepted", None, 1),
+    }
+
+
+def test_later_runs_see_what_is_stored(landing):
+    landing.put("1.csv", "J1")
+    landing.run()
+    landing.put("2.csv", "J1", "J2")
+    landing.put("3.csv", "J3")
+    landing.run()
+    landing.run()
+    assert landing.ids() == ["J1", "J3"]
+    assert landing.outcome()["2.csv"] == ("refused", "keys already stored", 2)
+
+
+def test_a_repeated_batch_replaces_itself(spark, landing):
+    landing.put("1.csv", "J1", "J2")
+    path = (landing.folder / "1.csv").as_uri()
+    for _ in range(2):
+        ingest_files(spark, [path], TABLE, landing.store, landing.log, 7)
+    assert landing.ids() == ["J1", "J2"]
+    ingest_files(spark, [path], TABLE, landing.store, landing.log, 8)
+    assert landing.ids() == ["J1", "J2"]
+
+
+def test_known_table_counts_as_stored(spark, landing):
+    known = spark.createDataFrame([("J1",)], "journal_id string")
+    landing.put("1.csv", "J1")
+    landing.put("2.csv", "J2")
+    landing.run(known=known)
+    assert landing.ids() == ["J2"]
+
+
+def test_tables_without_a_key_take_everything(spark, tmp_path):
+    landing = Landing(spark, tmp_path)
+    header = ("entity_code,account_code,account_name,debit_amount,credit_amount,"
+              "transaction_date,interco_flag\n")
+    for name in ("1.csv", "2.csv"):
+        (landing.folder / name).write_text(header + "E,A,Cash,1,0,2024-01-01,Y\n")
+    paths = [(landing.folder / n).as_uri() for n in ("1.csv", "2.csv")]
+    ingest_files(spark, paths, "consolidation", landing.store, landing.log, 0)
+    assert stored_rows(spark, landing.store, "consolidation").count() == 2
