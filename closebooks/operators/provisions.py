@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import choose, count_rows, month_text, total
 from closebooks.operators.issues import Check, issue_rows
-from closebooks.operators.skew import HOT_ROWS, MAX_HOT_KEYS, flag_hot
+from closebooks.operators.skew import HOT_ROWS, MAX_HOT_KEYS, digest_prefix, with_hot_size
 
 
 def _frequency_counts() -> list[Column]:
@@ -162,7 +162,8 @@ def provision_spikes(
 
     An ordered group is normally one task's work. A group above `hot_rows` rows is cut
     into chunks by period and digest prefix, which follow each other in the same order;
-    each chunk starts from what the chunks before it carry over.
+    each chunk starts from what the chunks before it carry over. The prefix grows with
+    the group, so that a chunk stays below `hot_rows` even if the group has one period.
     """
     group = ["expense_ledger", "vendor"]
     rows = history.filter(
@@ -172,23 +173,31 @@ def provision_spikes(
         F.md5(F.col("rid").cast("binary")).alias("ord"),
         F.coalesce(F.unix_date("period"), F.lit(2**31 - 1)).alias("day"),
     )
-    chunk = F.when(
-        F.col("hot"), F.struct(F.col("day"), F.left("ord", F.lit(2)).alias("part"))
-    )
-    rows = flag_hot(rows, group, "hot", hot_rows, max_hot).withColumn("chunk", chunk)
+    part = digest_prefix(F.col("ord"), F.col("hot"), hot_rows).alias("part")
+    chunk = F.when(F.col("hot").isNotNull(), F.struct("day", part))
+    rows = with_hot_size(rows, group, "hot", hot_rows, max_hot).withColumn("chunk", chunk)
 
     cells = [*group, "chunk"]
-    before = W.partitionBy(*cells).orderBy("day", "ord", "amount")
-    earlier = W.partitionBy(*cells).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-    placed = rows.select(
-        *cells, "period", "amount",
+    in_order = W.partitionBy(*cells).orderBy("day", "ord", "amount")
+    so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    stepped = rows.select(
+        *cells, "period", "amount", "day", "ord",
         F.last("amount", ignorenulls=True)
-        .over(before.rowsBetween(W.unboundedPreceding, -1)).alias("known"),
-        F.max_by("amount", F.struct("day", "ord", F.coalesce("amount", F.lit(0.0))))
-        .over(earlier).alias("previous"),
+        .over(in_order.rowsBetween(W.unboundedPreceding, -1)).alias("known"),
+        F.lag("amount").over(in_order).alias("row_before"),
+        F.lag("day").over(in_order).alias("day_before"),
+    )
+    # Where a period starts, the row before is the last one of an earlier period. An
+    # unknown amount there is carried as NaN, to tell it from "no earlier period".
+    at_start = F.when(
+        F.col("day_before") != F.col("day"), F.coalesce("row_before", F.lit(float("nan")))
     )
+    previous = F.last(at_start, ignorenulls=True).over(so_far)
+    placed = stepped.select(
+        *cells, "period", "amount", "known", previous.alias("previous")
+    ).withColumn("previous", F.when(~F.isnan("previous"), F.col("previous")))
 
-    carried = _carried_over(rows.filter("hot"), group)
+    carried = _carried_over(rows.filter(F.col("hot").isNotNull()), group)
     joined = placed.join(carried, cells, "left").select(
         *group, "period", "amount",
         F.coalesce("known", "known_before").alias("known"),
@@ -204,7 +213,7 @@ def provision_spikes(
 
 def _carried_over(hot: DataFrame, group: list[str]) -> DataFrame:
     """Per chunk of a hot group: the last known amount before it, and the last amount
-    of an earlier period. Chunks are few per group: 256 at most per period."""
+    of an earlier period. The windows run over chunks, not rows."""
     order = F.struct("ord", F.coalesce("amount", F.lit(0.0)))
     ends = hot.groupBy(*group, "chunk", "day").agg(
         F.max_by("amount", F.when(F.col("amount").isNotNull(), order)).alias("last_known"),

@@ -59,31 +59,35 @@ def key_presence(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def hot_keys(
-    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
+    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS,
+    size: str = "size",
 ) -> DataFrame:
-    """The at most `max_keys` largest groups among those above `hot_rows` rows."""
+    """The at most `max_keys` largest groups above `hot_rows` rows, with their size."""
     return (
         df.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.col("count").desc(), *keys)
+        .agg(F.count(F.lit(1)).alias(size))
+        .filter(F.col(size) > hot_rows)
+        .orderBy(F.col(size).desc(), *keys)
         .limit(max_keys)
-        .select(*keys)
     )
 
 
-def flag_hot(
-    df: DataFrame, keys: list[str], flag: str,
+def with_hot_size(
+    df: DataFrame, keys: list[str], size: str,
     hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
-    """Mark the rows of hot groups without shuffling the rows.
+    """Adds the group size to rows of hot groups, null to others, without a shuffle.
 
     The broadcast side holds no more than `max_keys` rows, see `hot_keys`.
     """
-    hot = hot_keys(df, keys, hot_rows, max_keys).withColumn(flag, F.lit(True))
-    return df.join(F.broadcast(hot), keys, "left").withColumn(
-        flag, F.coalesce(F.col(flag), F.lit(False))
-    )
+    hot = hot_keys(df, keys, hot_rows, max_keys, size)
+    return df.join(F.broadcast(hot), keys, "left")
+
+
+def digest_prefix(digest: Column, size: Column, hot_rows: int) -> Column:
+    """As many leading hex digits as cut `size` rows into parts below `hot_rows`."""
+    digits = F.ceil(F.log(16.0, size / F.lit(max(hot_rows, 1)))).cast("int")
+    return F.left(digest, F.greatest(digits, F.lit(1)))
 
 
 def first_per_key(

@@ -13,6 +13,35 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
 
+# --- Fixed values: layouts of the sample tables used here. A given schema spares the
+# job that would read file footers to infer one.
+SAMPLE_SCHEMAS = {
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+        "c_mktsegment string"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+        "value double, props string"
+    ),
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def _money(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
@@ -39,9 +68,9 @@ class SampleViews:
         self._tables: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """A sample table; its footer is read once per set of views."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            reader = self.spark.read.schema(SAMPLE_SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
     # -- building blocks -------------------------------------------------------

@@ -48,7 +48,18 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def append(df: DataFrame, table: str, database: str = "default") -> None:
-    conform(df, table).write.mode("append").saveAsTable(f"{database}.{table}")
+    """Add rows to an existing table, partitioned or not.
+
+    Rows of a partitioned table are first gathered by partition value, so that each
+    partition gets files of a fair size; adaptive execution splits the large ones.
+    """
+    name = f"{database}.{table}"
+    stored = df.sparkSession.table(name)
+    parts = [c.name for c in df.sparkSession.catalog.listColumns(name) if c.isPartition]
+    rows = conform(df, table).select(*stored.columns)
+    if parts:
+        rows = rows.hint("rebalance", *parts)
+    rows.write.insertInto(name)
 
 
 def stored_ordered(df: DataFrame, table: str) -> DataFrame:

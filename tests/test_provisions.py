@@ -107,7 +107,7 @@ def test_spikes_fill_forward_zero_and_earlier_period(spark):
     assert pct["A"] == pytest.approx(30) and pct["B"] is None
 
 
-@pytest.mark.parametrize("hot_rows, max_hot", [(0, 1000), (20, 1000), (0, 1), (10**9, 10)])
+@pytest.mark.parametrize("hot_rows, max_hot", [(0, 1000), (3, 1000), (20, 1000), (0, 1), (10**9, 10)])
 def test_spikes_do_not_depend_on_how_hot_groups_are_cut(spark, hot_rows, max_hot):
     import random
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from closebooks.operators.skew import (
-    flag_hot, first_per_key, hot_keys, key_presence, lookup_join,
+    digest_prefix, first_per_key, hot_keys, key_presence, lookup_join, with_hot_size,
 )
 from tests.conftest import rows
 
@@ -57,9 +57,15 @@ def test_lookup_join_equals_the_plain_join(spark):
 
 def test_hot_keys_are_bounded_and_largest_first(spark):
     df = spark.range(100).select((F.col("id") % 7 % 4).alias("k"))
-    assert rows(hot_keys(df, ["k"], hot_rows=20)) == [(0,), (1,), (2,)]
+    assert rows(hot_keys(df, ["k"], hot_rows=20)) == [(0, 29), (1, 29), (2, 28)]
     assert hot_keys(df, ["k"], hot_rows=0, max_keys=2).count() == 2
-    assert flag_hot(df, ["k"], "hot", hot_rows=20).filter("hot").count() == 86
+    assert with_hot_size(df, ["k"], "n", hot_rows=20).filter("n is not null").count() == 86
+
+
+def test_prefix_grows_with_the_group(spark):
+    sizes = spark.createDataFrame([(11,), (160,), (161,), (1_000_000,)], "n long")
+    got = sizes.select("n", F.length(digest_prefix(F.lit("a" * 32), F.col("n"), 10)))
+    assert rows(got.orderBy("n")) == [(1000000, 5), (11, 1), (160, 1), (161, 2)]
 
 
 def test_key_presence(spark):

@@ -123,6 +123,11 @@ def test_tables_are_created_once_appended_and_read_by_name(spark):
     assert stored.schema.names == TABLE_SCHEMAS["tds_validation"].names
     assert rows(stored, "id", "challan_number", "pan") == [("9", "C1", None)]
     assert tables.record_count(spark, "books_src.tds_validation") == 1
+    for _ in range(2):
+        tables.append(row, "traces_data", "books_src")
+    dated = tables.table_data(spark, "books_src.traces_data")
+    assert rows(dated, "challan_number", "transaction_date", "tds_amount") == [
+        ("C1", date(2024, 1, 1), D("5.00"))] * 2
     with pytest.raises(LookupError):
         tables.table_data(spark, "books_src.nothing")
     with pytest.raises(ParseException):
