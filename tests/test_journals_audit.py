@@ -5,10 +5,9 @@ from decimal import Decimal
 
 import pytest
 
-from closebooks.operators import audit, feedback
+from closebooks.operators import audit, feedback, vectors
 from closebooks.operators import journals as jn
 from closebooks.operators.rows import row_documents, sample_rows, to_records
-from closebooks.operators.vectors import vector_top_k
 from tests.conftest import day, money, rows
 
 D = Decimal
@@ -192,9 +191,12 @@ def test_sample_is_the_first_rows_in_order(spark):
     assert [r.id for r in sample_rows(spark.range(100), 3, ["id"]).collect()] == [0, 1, 2]
 
 
-def test_nearest_vectors_break_ties_by_key(spark):
-    data = [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [3.0, 4.0]), (4, None), (5, [0.0, 0.0])]
+@pytest.mark.parametrize("unrolled", [128, 0])
+def test_nearest_vectors_break_ties_by_key(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(vectors, "UNROLLED_DIMENSIONS", unrolled)
+    data = [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [3.0, 4.0]), (4, None), (5, [0.0, 0.0]),
+            (6, [0.0]), (7, [0.0, None])]
     df = spark.createDataFrame(data, "vec_id int, embedding array<float>")
-    got = vector_top_k(df, [0.0, 0.0], k=3).collect()
+    got = vectors.vector_top_k(df, [0.0, 0.0], k=3).collect()
     assert [(r.vec_id, r["rank"]) for r in got] == [(5, 1), (1, 2), (2, 3)]
-    assert vector_top_k(df, [0.0, 0.0], k=9).count() == 4
+    assert vectors.vector_top_k(df, [0.0, 0.0], k=9).count() == 4
