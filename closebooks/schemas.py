@@ -21,8 +21,8 @@ def _schema(columns: str) -> T.StructType:
 
 
 # --- Fixed values: table layouts ---------------------------------------------
-# The reference numbers rows on insert; here `id` is a text key the caller
-# derives from the row's own columns (no global sequence exists in Spark).
+# `id` is a text key the caller derives from the row's own columns: a running number
+# would need one task to hand it out.
 TABLE_SCHEMAS: dict[str, T.StructType] = {
     "provision_planning": _schema(
         "id string, expense_category string, vendor_name string, amount decimal(15,2), "
