@@ -39,14 +39,14 @@ def interco_mismatches(ic: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) ->
 def interco_mismatch_journals(
     ic: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE
 ) -> DataFrame:
-    """The journals behind `interco_mismatches`, one row each.
+    """The journals behind `interco_mismatches`, one row each, with their share.
 
     A list per pair would grow without bound in one cell, so it is laid out as rows.
+    Both inputs of the join come from the same sums per journal, made once.
     """
     pairs = interco_mismatches(ic, tolerance).select("entity", "counterparty")
-    journals = _per_journal(ic).filter(F.col("journal_id").isNotNull())
-    return lookup_join(journals, pairs, ["entity", "counterparty"], "left_semi").select(
-        "entity", "counterparty", "journal_id"
+    return lookup_join(_per_journal(ic), pairs, ["entity", "counterparty"], "left_semi").select(
+        "entity", "counterparty", "journal_id", "amount"
     )
 
 

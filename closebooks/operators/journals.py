@@ -97,14 +97,18 @@ def _keys(df: DataFrame, key: str) -> DataFrame:
 def journal_existing_keys(
     batch: DataFrame, stored: DataFrame, key: str = "journal_id"
 ) -> DataFrame:
-    """Keys of the batch that are stored already. Both sides are reduced to distinct
-    keys on the map side, so repetition on either side costs nothing in the join."""
-    return _keys(batch, key).join(_keys(stored, key), key, "left_semi")
+    """Keys of the batch that are stored already.
+
+    The store is filtered by the keys of the batch, not the other way round: a batch of
+    ordinary size is broadcast by Spark, and then the store is scanned but not shuffled.
+    """
+    return lookup_join(stored.select(key), _keys(batch, key), [key], "left_semi").distinct()
 
 
 def journal_new_rows(batch: DataFrame, stored: DataFrame, key: str = "journal_id") -> DataFrame:
     """Rows of the batch whose key is not stored yet."""
-    return lookup_join(batch, _keys(stored, key), [key], "left_anti")
+    existing = journal_existing_keys(batch, stored, key)
+    return lookup_join(batch, existing, [key], "left_anti")
 
 
 def read_back(

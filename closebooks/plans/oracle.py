@@ -605,8 +605,9 @@ group by m.elimination_account""",
 select entity, counterparty, cast(total_amount as double) total_amount, journals
 from pair_sums""",
     "interco_mismatch_journals": """
-select distinct i.entity, i.counterparty, i.journal_id from interco i join pair_sums p
-  on p.entity = i.entity and p.counterparty = i.counterparty where i.journal_id is not null""",
+select i.entity, i.counterparty, i.journal_id, cast(sum(i.amount) as double) amount
+from interco i join pair_sums p on p.entity = i.entity and p.counterparty = i.counterparty
+group by i.entity, i.counterparty, i.journal_id""",
     "interco_missing_counterparty": """
 select distinct journal_id from interco where counterparty is null""",
     "interco_missing_counterpart": f"""

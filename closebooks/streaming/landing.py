@@ -17,12 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from closebooks.operators.journals import journal_existing_keys
 from closebooks.schemas import BATCH_KEYS, TABLE_SCHEMAS
 from closebooks.sources.csv_files import (
     by_layout, literal_path, missing_columns, snake_header, text_rows, typed,
@@ -116,7 +118,7 @@ def _refused_by_key(
     """Reason per refused file: a file loses to the store and to accepted earlier files."""
     refused: dict[int, str] = {}
     for known in stored:
-        there = known.select(key).filter(F.col(key).isNotNull()).distinct()
+        there = journal_existing_keys(keys, known, key)
         hits = keys.join(there, key, "left_semi").select("_file").distinct().collect()
         refused |= {r["_file"]: REASON_STORED for r in hits if r["_file"] not in out}
     pairs = _shared_pairs(keys, key)
@@ -131,35 +133,50 @@ def _refused_by_key(
     return refused
 
 
+def _judge(
+    spark: SparkSession, rows: DataFrame, files: int, table: str, store: str, batch_id: int,
+    known: DataFrame | None, reasons: dict[int, str],
+) -> dict[int, int]:
+    """Add the reasons found in the rows; rows per file."""
+    counts: dict[int, int] = {}
+    for r in rows.groupBy("_file").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.size("_unreadable") > 0).alias("bad")
+    ).collect():
+        if r["_file"] is None:
+            raise RuntimeError("rows from a file that is not in the batch")
+        counts[r["_file"]] = r["n"]
+        if r["bad"]:
+            reasons[r["_file"]] = REASON_VALUES
+    key = BATCH_KEYS.get(table)
+    if key:
+        keys = rows.select("_file", key).filter(F.col(key).isNotNull()).distinct()
+        older = stored_rows(spark, store, table, before=batch_id)
+        stored = [d for d in (older, known) if d is not None]
+        reasons |= _refused_by_key(keys, key, stored, files, set(reasons))
+    return counts
+
+
 def ingest_files(
     spark: SparkSession, paths: list[str], table: str, store: str, log: str, batch_id: int,
     known: DataFrame | None = None,
 ) -> None:
     """Take one micro-batch of files, oldest first. Safe to repeat."""
-    key = BATCH_KEYS.get(table)
     files = _listed(spark, paths)
     rows, lacking = _read(spark, files, table)
     reasons: dict[int, str] = dict.fromkeys(lacking, REASON_COLUMNS)
     counts: dict[int, int] = {}
     if rows is not None:
-        for r in rows.groupBy("_file").agg(
-            F.count(F.lit(1)).alias("n"), F.bool_or(F.size("_unreadable") > 0).alias("bad")
-        ).collect():
-            if r["_file"] is None:
-                raise RuntimeError("rows from a file that is not in the batch")
-            counts[r["_file"]] = r["n"]
-            if r["bad"]:
-                reasons[r["_file"]] = REASON_VALUES
-        if key:
-            keys = rows.select("_file", key).filter(F.col(key).isNotNull()).distinct()
-            older = stored_rows(spark, store, table, before=batch_id)
-            stored = [d for d in (older, known) if d is not None]
-            reasons |= _refused_by_key(keys, key, stored, len(files), set(reasons))
-        taken = [i for i in range(len(files)) if i not in reasons]
-        (
-            rows.filter(F.col("_file").isin(taken)).select(*TABLE_SCHEMAS[table].names)
-            .write.mode("overwrite").parquet(f"{store}/ingest_batch={batch_id}")
-        )
+        # The checks and the write share one parse of the text.
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            counts = _judge(spark, rows, len(files), table, store, batch_id, known, reasons)
+            taken = [i for i in range(len(files)) if i not in reasons]
+            (
+                rows.filter(F.col("_file").isin(taken)).select(*TABLE_SCHEMAS[table].names)
+                .write.mode("overwrite").parquet(f"{store}/ingest_batch={batch_id}")
+            )
+        finally:
+            rows.unpersist()
     outcome = [
         (f.source, "refused" if i in reasons else "accepted", reasons.get(i), counts.get(i, 0))
         for i, f in enumerate(files)

@@ -147,8 +147,9 @@ def test_pairs_that_do_not_net_to_zero(trades):
         ("A", "B", D("15.00"), 2), ("B", "A", D("14.00"), 1), ("E", "F", D("2.00"), 1),
         ("F", "E", D("1.00"), 1)]
     assert rows(ico.interco_mismatch_journals(trades)) == [
-        ("A", "B", "J1"), ("A", "B", "J2"), ("B", "A", "J1"), ("E", "F", "J8"),
-        ("F", "E", "J8")]
+        ("A", "B", "J1", D("10.00")), ("A", "B", "J2", D("5.00")),
+        ("B", "A", "J1", D("10.00")), ("B", "A", None, D("4.00")),
+        ("E", "F", "J8", D("2.00")), ("F", "E", "J8", D("1.00"))]
     assert rows(ico.interco_counts(trades)) == [(4, 1)]
 
 
