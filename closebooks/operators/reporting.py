@@ -67,7 +67,10 @@ def period_variance(f: DataFrame) -> DataFrame:
 
 
 def financial_report(c: DataFrame) -> DataFrame:
-    """Rows of the stored report: report type, period, entity, metric and variance."""
+    """Rows of the stored report: report type, period, entity, metric and variance.
+
+    A percentage too large for its stored type is null rather than the end of the job.
+    """
     metric = F.col("metric")
     kind = (
         F.when(con.contains_any(metric, V.BALANCE_SHEET_WORDS), "BS")
@@ -80,7 +83,8 @@ def financial_report(c: DataFrame) -> DataFrame:
         kind.alias("report_type"), "period", "entity", "metric",
         *[F.col(n).cast("decimal(15,2)").alias(n)
           for n in ("value", "previous_value", "variance")],
-        F.round("variance_percentage", 2).cast("decimal(10,2)").alias("variance_percentage"),
+        F.round(F.col("variance_percentage").try_cast("decimal(24,6)"), 2)
+        .try_cast("decimal(10,2)").alias("variance_percentage"),
     )
 
 

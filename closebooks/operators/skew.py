@@ -9,7 +9,7 @@ _HASH = "_join_hash"
 
 # Hot keys are broadcast, so their number has a fixed bound. A key that is not
 # among the MAX_HOT_KEYS largest holds less than 1/MAX_HOT_KEYS of all rows.
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 100_000
 HOT_ROWS = 5_000_000
 
 

@@ -453,6 +453,9 @@ union all select rid, 'TDS calculation mismatch', cast({_EXPECTED} as double),
 from tds_validation where abs({_EXPECTED} - tds_amount) > 0.01""",
     "tds_group_check": _group_check("tds_amount"),
     "tds_group_check_payment": _group_check("payment_amount"),
+    "tds_counts": f"""
+select (select count(*) from ({_group_check("tds_amount")}) g) deduction_mismatches,
+  (select count(*) from tds_validation where challan_number is null) missing_challans""",
     "tds_missing_challan": """
 select rid, pan, section_code, cast(tds_amount as double) tds_amount
 from tds_validation where challan_number is null""",
@@ -608,6 +611,10 @@ from pair_sums""",
 select i.entity, i.counterparty, i.journal_id, cast(sum(i.amount) as double) amount
 from interco i join pair_sums p on p.entity = i.entity and p.counterparty = i.counterparty
 group by i.entity, i.counterparty, i.journal_id""",
+    "interco_counts": """
+select (select count(*) from pair_sums) mismatches,
+  (select count(distinct journal_id) from interco where counterparty is null)
+    missing_counterparties""",
     "interco_missing_counterparty": """
 select distinct journal_id from interco where counterparty is null""",
     "interco_missing_counterpart": f"""
@@ -674,7 +681,8 @@ select (select count(*) from logs) = 0 missing_log,
   (select count(*) from logs where journal_id in (select journal_id from audit_log)) = 0
     missing_document""",
     "audit_stale_pending": """
-select id, journal_id, date_diff('day', transaction_date, date '2024-01-31') age_days
+select id, journal_id,
+  cast(date_diff('day', transaction_date, date '2024-01-31') as integer) age_days
 from audit_log where audit_status = 'PENDING'
   and date_diff('day', transaction_date, date '2024-01-31') > 7""",
     "audit_missing_record": """
@@ -715,6 +723,19 @@ from (select *, lag(value) over (partition by entity, metric order by period) pr
     from (select *, concat(year(transaction_date), '-Q', quarter(transaction_date)) period
       from interco) q, (values ('Revenue'), ('Expenses'), ('Assets')) m(metric)
     group by q.entity, q.period, m.metric) g) w""",
+    "financial_report": f"""
+select concat_ws('|', entity, period, metric) id,
+  case when regexp_matches(metric, 'Assets|Liabilities|Equity') then 'BS'
+    when regexp_matches(metric, 'Revenue|Expenses') then 'PL'
+    when regexp_matches(metric, 'Operating|Investing|Financing') then 'CF' end report_type,
+  period, entity, metric, cast(value as double) value, cast(previous as double) previous_value,
+  cast(value - previous as double) variance,
+  cast(round(cast(case when previous = 0 then 0e0 else
+    (cast(value as double) - cast(previous as double)) / cast(previous as double) * 100 end
+    as decimal(24,6)), 2) as double) variance_percentage
+from (select *, lag(value) over (partition by entity, metric order by period) previous
+  from (select entity, concat(year(transaction_date), '-Q', quarter(transaction_date)) period,
+      account metric, sum(amount) value from interco group by all) q) w""",
     "empty_report_fields": """
 select entity, period, metric, f.field from variance,
   (values ('value'), ('previous_value'), ('variance'), ('variance_percentage')) f(field)

@@ -37,6 +37,18 @@ def _statement_values(v: SampleViews) -> DataFrame:
     )
 
 
+def _ledger_of_interco(v: SampleViews) -> DataFrame:
+    """Intercompany rows in the consolidation layout: their accounts have classes."""
+    amount, zero = F.col("amount"), F.lit(0).cast("decimal(15,2)")
+    return v.interco.select(
+        F.col("entity").alias("entity_code"), F.col("account").alias("account_name"),
+        F.when(amount > 0, amount).otherwise(zero).alias("debit_amount"),
+        F.when(amount < 0, (-amount).cast("decimal(15,2)")).otherwise(zero)
+        .alias("credit_amount"),
+        "transaction_date",
+    )
+
+
 def _logs(v: SampleViews) -> DataFrame:
     return audit.audit_log_entries(
         jn.journal_dropna(v.journals), user="ENT015", action="Debit"
@@ -111,6 +123,7 @@ VIEW_QUERIES: dict[str, View] = {
     "tds_group_check": lambda v: tds.tds_group_check(v.tds_validation),
     "tds_group_check_payment": lambda v: tds.tds_group_check(
         v.tds_validation, base="payment_amount"),
+    "tds_counts": lambda v: tds.tds_counts(v.tds_validation),
     "tds_missing_challan": lambda v: tds.tds_missing_challan(v.tds_validation),
     "tds_missing_identifiers": lambda v: tds.tds_missing_identifiers(v.tds_validation),
     "traces_match": lambda v: tds.traces_match(v.tds_validation, v.traces_data),
@@ -154,6 +167,7 @@ VIEW_QUERIES: dict[str, View] = {
     # intercompany
     "interco_mismatches": lambda v: interco.interco_mismatches(v.interco),
     "interco_mismatch_journals": lambda v: interco.interco_mismatch_journals(v.interco),
+    "interco_counts": lambda v: interco.interco_counts(v.interco),
     "interco_missing_counterparty": lambda v: interco.interco_missing_counterparty(v.interco),
     "interco_missing_counterpart": lambda v: interco.interco_missing_counterpart(v.interco),
     "interco_amount_mismatch": lambda v: interco.interco_amount_mismatch(v.interco),
@@ -195,6 +209,7 @@ VIEW_QUERIES: dict[str, View] = {
     "period_variance": lambda v: reporting.period_variance(
         reporting.quarterly_values(v.consolidation)),
     "statement_report": lambda v: reporting.statement_report(_statement_values(v)),
+    "financial_report": lambda v: reporting.financial_report(_ledger_of_interco(v)),
     "empty_report_fields": lambda v: reporting.empty_report_fields(
         reporting.period_variance(reporting.quarterly_values(v.consolidation))),
     "close_checks": lambda v: _close(v, reporting.close_checks),
