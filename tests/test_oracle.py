@@ -10,8 +10,8 @@ from tests.conftest import SF_DIR
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+QUERIES = entry_point.registry.queries()
+ORACLE = entry_point.oracle.oracle_sql()
 # Lists that are right to be empty on the sample.
 MAY_BE_EMPTY: set[str] = set()
 
