@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebooks.llm import line_dedup, mixing, sharding
+from closebooks.llm import bpe, line_dedup, mixing, quality, sharding
 from closebooks.llm.common import table
 
 SHARDS = 8
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +28,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digest(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_mixing)}
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_sharding, op5_mixing, op7_quality_rules, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.VERDICTS_SQL}
