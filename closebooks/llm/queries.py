@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebooks.llm import bpe, line_dedup, mixing, quality, sharding
+from closebooks.llm import bpe, line_dedup, mixing, quality, sharding, topk, toxicity
 from closebooks.llm.common import table
 
 SHARDS = 8
@@ -32,14 +32,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_sharding, op5_mixing, op7_quality_rules, op9_bpe)}
+        op1_line_dedup, op2_sharding, op5_mixing, op7_quality_rules, op8_toxicity, op9_bpe,
+        op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.VERDICTS_SQL}
+    return {"op7_quality_rules": quality.VERDICTS_SQL, "op10_top_k": topk.TOP_K_SQL}
