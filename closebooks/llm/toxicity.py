@@ -156,7 +156,7 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample in one task; FEATURES weights come back."""
-    rows = training_sample(docs, labels).groupBy(F.lit(0)).applyInPandas(
+    rows = training_sample(docs, labels).groupBy().applyInPandas(
         _fit_group, "word string, weight double").collect()
     weights = {r["word"]: r["weight"] for r in rows}
     bias, base = weights.pop("\0bias", -20.0), weights.pop("\0base", 0.0)
