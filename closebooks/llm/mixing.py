@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from closebooks.llm.common import stored, word_count
 
 MOST = 3  # no document is taken more often
-BLOCK = 20_000  # documents of a source that one group decides on, on average
+BLOCK = 1000  # documents of a source that one group decides on, on average
 TINY = 1e-9
 
 
