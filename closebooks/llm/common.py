@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; none in a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], keys: int
+) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows with equal first `keys` columns, from rows sorted by them.
+
+    One group at a time is held; a group may span batches.
+    """
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cells:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[lo] for c in cells)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebooks.llm import bpe, line_dedup, mixing, quality, sharding, topk, toxicity
+from closebooks.llm import (
+    bpe,
+    html_text,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    topk,
+    toxicity,
+)
 from closebooks.llm.common import table
 
 SHARDS = 8
@@ -24,6 +34,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), root, sharding.grown(root, 1.0, SHARDS))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.linked(table(spark, sf_dir, "documents"), 4)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -46,8 +64,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_sharding, op5_mixing, op7_quality_rules, op8_toxicity, op9_bpe,
-        op10_top_k)}
+        op1_line_dedup, op2_sharding, op3_near_dedup, op4_html_text, op5_mixing,
+        op7_quality_rules, op8_toxicity, op9_bpe, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
