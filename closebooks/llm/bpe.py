@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 WORD_END = "</w>"
 CACHE = 300_000  # pieces that a worker remembers, and as many older ones
+SLICE = 256  # texts encoded at a time
 PAIRS = 1_000_000  # of the pair table
 STOPS = frozenset(".,!?;:")  # pieces of their own after a word
 CACHED_CHARS = 64  # longer pieces are not remembered
@@ -225,36 +226,45 @@ def loaded(spec: bytes) -> Bpe:
     return _loaded[key]
 
 
-def _digests(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digest(bpe: Bpe, ids: np.ndarray) -> tuple[int, str, str]:
+    return (len(ids), hashlib.sha256(bpe.numbers.join(ids)[:-1]).hexdigest(),
+            hashlib.sha256(bpe.decode(ids)).hexdigest())
+
+
+def _encode(spec, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (doc_id, text) to doc_id, the digests, and the ids if asked for.
+
+    Batches are cut, so that the ids of a few texts at a time are held.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            count, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                count.append(len(ids))
-                ids_sha.append(hashlib.sha256(bpe.numbers.join(ids)[:-1]).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [bpe.encode(text.as_py() or "") for text in part.column(1)]
+                count, ids_sha, text_sha = zip(*(_digest(bpe, x) for x in ids), strict=True)
+                cells = [part.column(0), pa.array(count, pa.int64()),
+                         pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    offsets = np.cumsum([0, *count]).astype(np.int32)
+                    cells.append(pa.ListArray.from_arrays(
+                        offsets, pa.array(np.concatenate(ids), pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cells, names=names)
 
     return run
 
 
-def _encode(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _decode(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            ids = [bpe.encode(text.as_py() or "") for text in batch.column(1)]
-            texts = [bpe.decode(x) for x in ids]
-            offsets = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate([*ids, np.empty(0, np.int32)])
+            texts = [bpe.decode(np.array(x.as_py() or [], np.int32)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets.astype(np.int32), flat),
-                 pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["row", "ids", "decoded"])
+                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())],
+                names=["doc_id", "decoded"])
 
     return run
 
@@ -265,17 +275,25 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """Each row packed as `row`, with its token ids and their decoded text."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_encode(spec), f"row {row}, ids array<int>, decoded string")
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def token_digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of tokens, digests of its ids and of the decoded text."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _digests(spec),
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        _encode(spec, False), DIGEST)
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """The digest's columns, and the token ids."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        _encode(spec, True), f"{DIGEST}, ids array<int>")
+
+
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of rows of doc_id and ids."""
+    spec = tokens.sparkSession.sparkContext.broadcast(read_spec(path))
+    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(
+        _decode(spec), "doc_id long, decoded string")

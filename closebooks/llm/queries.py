@@ -15,6 +15,7 @@ from closebooks.llm import (
     near_dedup,
     quality,
     sharding,
+    suffix_dedup,
     topk,
     toxicity,
 )
@@ -46,6 +47,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_sharding, op3_near_dedup, op4_html_text, op5_mixing,
-        op7_quality_rules, op8_toxicity, op9_bpe, op10_top_k)}
+        op6_suffix_dedup, op7_quality_rules, op8_toxicity, op9_bpe, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

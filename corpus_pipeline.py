@@ -1,29 +1,56 @@
-"""The corpus pipeline: stages over documents, each one of the operators at work."""
+"""The corpus pipeline: documents through five of the training-data operators.
+
+Quality rules drop documents, line dedup drops repeated lines, near-dedup keeps one document
+of each group, mixing repeats or drops documents to meet its targets, and the last stage
+turns what is left into token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from closebooks.llm import line_dedup, mixing
+from closebooks.llm import bpe, line_dedup, mixing, near_dedup, quality
 from closebooks.llm.common import stored, table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.passed(docs)
+
 
-def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES = [("line dedup", _lines), ("mixing", _mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("bpe", tokens),
+]
 
-#: The stages hash, sketch and draw in ways that SQL does not state.
+#: Near-dedup, the cube method's draws and the tokenizer have no statement in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last stored and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
