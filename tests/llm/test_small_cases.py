@@ -8,7 +8,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from closebooks.llm import line_dedup, mixing, sharding
+from closebooks.llm import bpe, line_dedup, mixing, near_dedup, quality, sharding
+from closebooks.llm import html_text, suffix_dedup, topk, toxicity
+from closebooks.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int"
 LONG = "\n".join(f"line number {i} of the long one" for i in range(20_000))
@@ -115,3 +117,92 @@ def test_target_level_by_hand(spark):
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     # Weights 1, 2, 3 of 200: b stops at 30, a and null share 170 by 1 and 3.
     assert got == pytest.approx({"a": 42.5, "b": 30.0, None: 127.5})
+
+
+def test_near_dedup(docs, empty):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept)
+                  for r in near_dedup.linked(docs, 4).collect()), key=str)
+    words = LONG.split()
+    n = len({tuple(words[i:i + 4]) for i in range(len(words) - 3)})
+    assert got == sorted([
+        (1, 9, 1, True), (2, 6, 2, True), (3, 0, 3, True), (4, 0, 4, True),
+        (5, n, 5, True), (5, n, 5, True), (6, 1, 6, True), (7, 1, 7, True),
+        (None, 1, None, True), (None, 0, None, True)], key=str)
+    assert near_dedup.linked(empty, 4).count() == 0
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
+    assert near_dedup.deduplicated(empty).count() == 0
+
+
+def test_suffix_dedup(spark, docs, empty):
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in suffix_dedup.passage_digest(docs).collect()}
+    assert got == {(i, len((t or "").encode()), 0, 0, sha(t or "")) for i, t, *_ in ROWS}
+    assert suffix_dedup.passage_digest(empty).count() == 0
+    line = "".join(chr(97 + (i * i) % 23) for i in range(60))
+    rows = [(1, "x" + line), (2, line + "é" + line), (None, line), (3, line[:49]), (4, "a" * 500),
+            (5, "a" * 70 + "b"), (4, "a" * 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans)
+                 for r in suffix_dedup.passage_digest(frame).collect())
+    assert got == [(0, 60, 0, 0), (1, 61, 0, 0), (2, 122, 120, 2), (3, 49, 0, 0), (4, 60, 0, 0),
+                   (4, 500, 0, 0), (5, 71, 70, 1)]
+
+
+def test_quality(docs, empty):
+    rows = quality.verdicts(docs).collect()
+    assert len(rows) == len(ROWS)
+    long = next(r for r in rows if r.doc_id == 5)
+    assert (long.n_words, long.n_repeat_words, long.n_dup_lines, long.base_failed) == (
+        140_000, 119_998, 0, True)
+    first = next(r for r in rows if r.doc_id == 1)
+    assert (first.n_words, first.word_chars, first.n_symbols, first.n_dup_lines,
+            first.n_repeat_words, first.base_failed, first.kept) == (10, 38, 0, 0, 0, True, False)
+    assert quality.verdicts(empty).count() == 0
+    assert quality.passed(docs).columns == docs.columns
+
+
+def test_toxicity(spark, docs, empty):
+    labels = spark.createDataFrame(
+        [(1, 0), (2, None), (3, 1), (5, 0), (5, 1), (None, 1), (99, 1)], "doc_id long, toxic int")
+    rows = toxicity.scored(docs, labels).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.predicted == (r.score >= 0.5) for r in rows)
+    assert {r.doc_id for r in rows if r.held_out} == {
+        i for i in range(1, 8) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert toxicity.scored(empty, labels).count() == 0
+    assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_bpe(docs, empty):
+    rows = bpe.encoded(docs, TOKENIZER).collect()
+    assert len(rows) == len(ROWS)
+    assert all((r.n_tokens, r.ids) == (0, []) for r in rows if r.doc_id in (3, 4))
+    assert bpe.token_digest(empty, TOKENIZER).count() == 0
+    back = {(r.doc_id, sha(r.decoded)) for r in bpe.decoded(
+        bpe.encoded(docs, TOKENIZER), TOKENIZER).collect()}
+    assert back == {(r.doc_id, r.decoded_sha256) for r in rows}
+
+
+def test_html(spark):
+    pages = [(1, "u", None, 5), (2, None, "", 5), (None, "u", "<p>a, b</p>", 5),
+             (4, "u", "<div>" * 5000 + "deep", 5), (5, "u", "no markup &lt;here&gt;", 5),
+             (5, "u", "no markup &lt;here&gt;", 5), (6, "u", "<script>only()</script>", 5)]
+    schema = "page_id long, url string, html string, n_chars int"
+    rows = html_text.main_texts(spark.createDataFrame(pages, schema)).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [
+        (0, "a, b", 4), (1, "", 0), (2, "", 0), (4, "deep", 4), (5, "no markup <here>", 16),
+        (5, "no markup <here>", 16), (6, "", 0)]
+    assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_top_k(spark):
+    schema = "vec_id long, embedding array<float>, score int"
+    rows = [(0, [1.0, 2.0], 1), (50, [0.5], 2), (1, [float("nan"), 1.0], 1), (2, None, 1),
+            (None, [1.0, 1.0], 1), (3, [None, 1.0], 0), (50, [0.25], 2), (5, [], 3),
+            (7, [0.0, 0.0], 3), (6, [float("inf")], 3)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, schema)).orderBy(
+        "query_id", "rank").collect()]
+    assert got == [(0, 1, 50, 128 * 256), (0, 2, 50, 64 * 256), (0, 3, 5, 0), (0, 4, 7, 0),
+                   (50, 1, 0, 128 * 256), (50, 2, 5, 0), (50, 3, 7, 0)]
+    assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
