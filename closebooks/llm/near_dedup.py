@@ -14,9 +14,9 @@
 
 Defined cases: a text without words (null, empty, white space) has the empty set and is
 linked with nothing; a text with fewer words than a shingle is one shingle; rows that repeat
-a doc_id are linked by their own texts; a row without doc_id lends its text to no component's
-name, and alone in its component it has none; an empty table gives an empty result; other
-columns are ignored or, by `deduplicated`, returned unchanged.
+a doc_id are linked by their own texts; a row without doc_id is linked with nothing and has no
+component; an empty table gives an empty result; other columns are ignored or, by
+`deduplicated`, returned unchanged.
 """
 
 from __future__ import annotations
@@ -232,7 +232,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = stored(
-        rows.join(shared.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
+        rows.join(shared.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"))
         .select("node", "key", F.ceil(F.col("members") / BUCKET_BLOCK).alias("blocks")),
         "near-members")
     signed_members = members.join(
@@ -250,7 +250,8 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words:
     # One document stands for a node.
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long"), "text")
-    sets = texts.join(wanted, F.col("doc_id") == F.col("first")).select(
+    # Sort-merge joins at every size: each moves its rows once, and splits hot keys.
+    sets = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("first")).select(
         "node", F.col("component").alias("group"), "text").mapInArrow(
         _with_sets(words), "node long, group long, set binary, light binary")
     size = wanted.groupBy(F.col("component").alias("of")).agg(
@@ -276,8 +277,7 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
         "of", "first", F.coalesce("component", "of").alias("component"))
     least = member.groupBy(F.col("component").alias("part")).agg(F.min("first").alias("least"))
     named = member.join(least, F.col("component") == F.col("part")).select("of", "least")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(
-        F.coalesce("least", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return signs.join(named, F.col("node") == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -286,12 +286,13 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """One document of each component, with all its columns; the one with the least doc_id.
 
-    Of rows that repeat a kept doc_id one stays; rows without doc_id stay where they are alone.
+    Of rows that repeat a kept doc_id one stays; all rows without doc_id stay.
     """
     kept = stored(
-        linked(docs, words).where("kept").select(F.col("doc_id").alias("id")).distinct(),
-        "near-kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    found = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")))
-    one = found.where("id is not null").groupBy("id").agg(F.min("row").alias("row"))
-    return one.select("row.*").unionByName(found.where("id is null").select("row.*"))
+        linked(docs, words).where("kept and doc_id is not null")
+        .select(F.col("doc_id").alias("id")).distinct(), "near-kept")
+    rows = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("of"), F.struct(*docs.columns).alias("row"))
+    found = rows.join(kept.hint("merge"), F.col("of") == F.col("id"))
+    one = found.groupBy("id").agg(F.min("row").alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
