@@ -123,7 +123,8 @@ def interco_amount_mismatch(
 def interco_counts(ic: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) -> DataFrame:
     """Number of unbalanced pairs and of journals without a counterparty, from one scan.
 
-    Rows with a counterparty are grouped by pair, those without by journal.
+    Rows with a counterparty are grouped by pair, those without by journal; rows without
+    either are one journal, as in `interco_missing_counterparty`.
     """
     paired = F.col("counterparty").isNotNull()
     groups = ic.groupBy(
@@ -133,5 +134,5 @@ def interco_counts(ic: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) -> Dat
     open_pair = paired & F.col("entity").isNotNull() & exceeds(F.col("amount"), tolerance)
     return groups.agg(
         F.count_if(open_pair).alias("mismatches"),
-        F.count_if(~paired & F.col("journal").isNotNull()).alias("missing_counterparties"),
+        F.count_if(~paired).alias("missing_counterparties"),
     )

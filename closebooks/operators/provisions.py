@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import choose, count_rows, month_text, total
 from closebooks.operators.issues import Check, issue_rows
-from closebooks.operators.skew import HOT_ROWS, MAX_HOT_KEYS, digest_prefix, with_hot_size
 
 
 def _frequency_counts() -> list[Column]:
@@ -149,60 +148,49 @@ def provision_issues(p: DataFrame) -> DataFrame:
     return issue_rows(p, keys, checks).drop("expected", "actual")
 
 
-def provision_spikes(
-    history: DataFrame, percent: float = V.SPIKE_PERCENT,
-    hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT_KEYS,
-) -> DataFrame:
+def provision_spikes(history: DataFrame, percent: float = V.SPIKE_PERCENT) -> DataFrame:
     """Amounts more than `percent` above the preceding one of the same ledger and vendor.
 
     Rows follow by period; within a period by the digest of their key, an arbitrary but
     repeatable order. The change is taken against the last known amount, while
     previous_amount is the amount (known or not) of the last row of an earlier period.
-    A rise from zero is a spike without a percentage.
+    A rise from zero is a spike without a percentage. NaN is an unknown amount.
 
-    An ordered group is normally one task's work. A group above `hot_rows` rows is cut
-    into chunks by period and digest prefix, which follow each other in the same order;
-    each chunk starts from what the chunks before it carry over. The prefix grows with
-    the group, so that a chunk stays below `hot_rows` even if the group has one period.
+    A period of a group is always cut into 256 buckets of that order, so that no group is
+    one task's work. Each bucket starts from what an aggregate of the buckets before it
+    carries over; the windows across buckets run over one row per bucket.
     """
     group = ["expense_ledger", "vendor"]
+    bucket = [*group, "day", "bucket"]
+    amount = F.col("amount").cast("double")
+    ordered = F.md5(F.col("rid").cast("binary"))
     rows = history.filter(
         F.col("expense_ledger").isNotNull() & F.col("vendor").isNotNull()
     ).select(
-        *group, "period", F.col("amount").cast("double").alias("amount"),
-        F.md5(F.col("rid").cast("binary")).alias("ord"),
+        *group, "period", F.when(~F.isnan(amount), amount).alias("amount"),
         F.coalesce(F.unix_date("period"), F.lit(2**31 - 1)).alias("day"),
-    )
-    part = digest_prefix(F.col("ord"), F.col("hot"), hot_rows).alias("part")
-    chunk = F.when(F.col("hot").isNotNull(), F.struct("day", part))
-    rows = with_hot_size(rows, group, "hot", hot_rows, max_hot).withColumn("chunk", chunk)
+        F.left(ordered, F.lit(2)).alias("bucket"), ordered.alias("ord"),
+    ).withColumn("place", F.struct("ord", F.col("amount").isNotNull(), "amount"))
 
-    cells = [*group, "chunk"]
-    in_order = W.partitionBy(*cells).orderBy("day", "ord", "amount")
-    so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    stepped = rows.select(
-        *cells, "period", "amount", "day", "ord",
-        F.last("amount", ignorenulls=True)
-        .over(in_order.rowsBetween(W.unboundedPreceding, -1)).alias("known"),
-        F.lag("amount").over(in_order).alias("row_before"),
-        F.lag("day").over(in_order).alias("day_before"),
+    ends = rows.groupBy(*bucket).agg(
+        F.max_by("amount", F.when(F.col("amount").isNotNull(), F.col("place"))).alias("known"),
+        F.max_by("amount", "place").alias("any"),
     )
-    # Where a period starts, the row before is the last one of an earlier period. An
-    # unknown amount there is carried as NaN, to tell it from "no earlier period".
-    at_start = F.when(
-        F.col("day_before") != F.col("day"), F.coalesce("row_before", F.lit(float("nan")))
-    )
-    previous = F.last(at_start, ignorenulls=True).over(so_far)
-    placed = stepped.select(
-        *cells, "period", "amount", "known", previous.alias("previous")
-    ).withColumn("previous", F.when(~F.isnan("previous"), F.col("previous")))
-
-    carried = _carried_over(rows.filter(F.col("hot").isNotNull()), group)
-    joined = placed.join(carried, cells, "left").select(
-        *group, "period", "amount",
-        F.coalesce("known", "known_before").alias("known"),
-        F.coalesce("previous", "previous_before").alias("previous_amount"),
+    by_bucket = W.partitionBy(*group).orderBy("day", "bucket")
+    by_day = W.partitionBy(*group).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        *bucket,
+        F.last("known", ignorenulls=True)
+        .over(by_bucket.rowsBetween(W.unboundedPreceding, -1)).alias("known_before"),
+        F.max_by("any", F.struct("day", "bucket")).over(by_day).alias("previous_amount"),
     )
+    before = W.partitionBy(*bucket).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    stepped = rows.select(
+        *bucket, "period", "amount",
+        F.last("amount", ignorenulls=True).over(before).alias("known"))
+    joined = stepped.join(carried, bucket).select(
+        *group, "period", "amount", "previous_amount",
+        F.coalesce("known", "known_before").alias("known"))
     amount, known = F.col("amount"), F.col("known")
     change = F.when(known != 0, (amount / known - 1) * 100)
     spike = ((known == 0) & (amount > 0)) | (change > percent)
@@ -211,23 +199,6 @@ def provision_spikes(
     )
 
 
-def _carried_over(hot: DataFrame, group: list[str]) -> DataFrame:
-    """Per chunk of a hot group: the last known amount before it, and the last amount
-    of an earlier period. The windows run over chunks, not rows."""
-    order = F.struct("ord", F.coalesce("amount", F.lit(0.0)))
-    ends = hot.groupBy(*group, "chunk", "day").agg(
-        F.max_by("amount", F.when(F.col("amount").isNotNull(), order)).alias("last_known"),
-        F.max_by("amount", order).alias("last_any"),
-    )
-    by_chunk = W.partitionBy(*group).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    by_day = W.partitionBy(*group).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-    return ends.select(
-        *group, "chunk",
-        F.last("last_known", ignorenulls=True).over(by_chunk).alias("known_before"),
-        F.max_by("last_any", "chunk").over(by_day).alias("previous_before"),
-    )
-
-
 def repeating_expenses(
     history: DataFrame, min_months: int = V.REPEATING_MIN_MONTHS
 ) -> DataFrame:

@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 _HASH = "_join_hash"
 
-# Hot keys are broadcast, so their number has a fixed bound. A key that is not
-# among the MAX_HOT_KEYS largest holds less than 1/MAX_HOT_KEYS of all rows.
-MAX_HOT_KEYS = 100_000
-HOT_ROWS = 5_000_000
-
 
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner"
@@ -58,38 +53,6 @@ def key_presence(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def hot_keys(
-    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS,
-    size: str = "size",
-) -> DataFrame:
-    """The at most `max_keys` largest groups above `hot_rows` rows, with their size."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(size))
-        .filter(F.col(size) > hot_rows)
-        .orderBy(F.col(size).desc(), *keys)
-        .limit(max_keys)
-    )
-
-
-def with_hot_size(
-    df: DataFrame, keys: list[str], size: str,
-    hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS,
-) -> DataFrame:
-    """Adds the group size to rows of hot groups, null to others, without a shuffle.
-
-    The broadcast side holds no more than `max_keys` rows, see `hot_keys`.
-    """
-    hot = hot_keys(df, keys, hot_rows, max_keys, size)
-    return df.join(F.broadcast(hot), keys, "left")
-
-
-def digest_prefix(digest: Column, size: Column, hot_rows: int) -> Column:
-    """As many leading hex digits as cut `size` rows into parts below `hot_rows`."""
-    digits = F.ceil(F.log(16.0, size / F.lit(max(hot_rows, 1)))).cast("int")
-    return F.left(digest, F.greatest(digits, F.lit(1)))
-
-
 def first_per_key(
     df: DataFrame, keys: list[str], order: Column, columns: list[str]
 ) -> DataFrame:

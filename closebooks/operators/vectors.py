@@ -4,42 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 
-# Up to here the sum over dimensions is written out and compiled with the scan. A
-# longer one outgrows what the JVM compiles well and goes to Arrow batches.
-UNROLLED_DIMENSIONS = 128
-
-
-def _written_out(vector: Column, query: Sequence[float]) -> Column:
-    total = F.lit(0.0)
-    for i, x in enumerate(query):
-        gap = F.get(vector, F.lit(i)).cast("double") - F.lit(float(x))
-        total = total + gap * gap
-    return total
-
-
-def _by_batch(vector: Column, query: Sequence[float]) -> Column:
-    point = np.asarray(query, dtype="float64")
-
-    @F.arrow_udf("double")
-    def distance(batch: pa.Array) -> pa.Array:
-        flat = batch.flatten().to_numpy(zero_copy_only=False)
-        gaps = flat.astype("float64").reshape(-1, len(point)) - point
-        return pa.array(np.einsum("ij,ij->i", gaps, gaps))
-
-    return distance(vector)
-
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
-    """Squared Euclidean distance; the vectors must be as long as the query."""
-    write_out = len(query) <= UNROLLED_DIMENSIONS
-    return _written_out(vector, query) if write_out else _by_batch(vector, query)
+    """Squared Euclidean distance; null unless the vector is as long as the query.
+
+    One expression for every length: gaps by position, summed in order.
+    """
+    point = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
+    gaps = F.zip_with(vector, point, lambda a, b: a.cast("double") - b)
+    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap)
 
 
 def vector_top_k(

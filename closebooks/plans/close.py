@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
@@ -14,7 +15,7 @@ from closebooks.operators import audit, consolidation, gst, interco, journals, p
 from closebooks.operators import reporting
 from closebooks.operators.feedback import feedback_sections
 from closebooks.operators.rows import row_documents
-from closebooks.schemas import BATCH_KEYS, READ_BACK_ORDER
+from closebooks.schemas import BATCH_KEYS, READ_BACK_ORDER, TABLE_SCHEMAS
 from closebooks.sources import tables
 from closebooks.sources.csv_files import read_table_csv
 
@@ -110,11 +111,19 @@ def process_upload(
 
     `review` is a reviewer's text on the upload; without the phrases of its domain the
     upload is refused. Journals and intercompany uploads are refused as a whole when a
-    key is stored already; `existing_keys` names those.
+    key is stored already; `existing_keys` names those. An upload with a cell or row that
+    cannot be read is refused as a whole. The check and the append are two steps: uploads
+    of the same keys must not run at the same time.
     """
     if review is not None and not passes_review(review, _GATE_OF_TABLE[table]):
         return Outcome("error", GATE_ERROR)
-    batch = read_table_csv(spark, path, table)
+    read = read_table_csv(spark, path, table, rejects="_unreadable")
+    fields = read.select(F.explode("_unreadable").alias("field")).distinct().orderBy("field")
+    unreadable = [r.field for r in fields.collect()]  # names of columns: few
+    if unreadable:
+        return Outcome("error", f"Unreadable values in {path}: {', '.join(unreadable)}")
+    batch = tables.with_row_ids(
+        read.drop("_unreadable"), TABLE_SCHEMAS[table].names, F.lit(os.path.basename(path)))
     stored = tables.table_data(spark, f"{database}.{table}")
     key = BATCH_KEYS.get(table)
     if key:

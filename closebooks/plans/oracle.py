@@ -164,7 +164,7 @@ select s_name vendor_name, date '1995-01-01' contract_start_date,
 from supplier""",
     "expense_ledger": """
 select s_name vendor_name, cast(l_shipdate as date) transaction_date
-from base_line where l_extendedprice > 99000""",
+from base_line""",
     "feedback": """
 select o_orderkey id, concat(
   'Review', chr(10), '### Mismatched Transactions', chr(10), '- IC', o_orderkey, ' ',
@@ -219,7 +219,7 @@ where (h.known = 0 and h.amount > 0)
 select cast(entry_date as varchar) "timestamp", entity "user", type "action",
   cast(amount as double) amount, account, journal_id,
   'Auto-log for ' || type || ' entry.' "comment"
-from journals_clean where entity = 'ENT015' and type = 'Debit'""",
+from journals_clean""",
     "overdue": """
 select expense_category, vendor_name, last_provision_date, expected_date,
   date_diff('day', expected_date, date '2001-06-30') days_overdue
@@ -342,9 +342,9 @@ checks as (
     from ctb where not ({_BS} or {_PL} or {_CF})
   union all select 'interco_mismatches', count(*),
     concat('Warning: ', count(*), ' intercompany mismatches found') from pair_sums
-  union all select 'interco_missing_counterparties', count(distinct journal_id),
-    concat('Warning: ', count(distinct journal_id), ' missing counterparties found')
-    from interco where counterparty is null
+  union all select 'interco_missing_counterparties', count(*),
+    concat('Warning: ', count(*), ' missing counterparties found')
+    from (select distinct journal_id from interco where counterparty is null)
   union all select 'gst_mismatches', count(*),
     concat('Warning: ', count(*), ' GST mismatches found') from gst_return
     where coalesce(gstr_summary <> invoice_no, true)
@@ -534,11 +534,11 @@ from (select v.vendor_name, v.frequency, v.recurring_amount, cast(
       when 'Monthly' then interval '1' month when 'Quarterly' then interval '3' month
       when 'Annual' then interval '12' month end as date) due
   from vendor_info v left join (select vendor_name, max(transaction_date) last_date
-    from expense_ledger where transaction_date <= date '2001-06-30' group by 1) l
+    from expense_ledger where transaction_date <= date '2002-01-15' group by 1) l
     on l.vendor_name = v.vendor_name
-  where v.contract_start_date <= date '2001-06-30'
-    and (v.contract_end_date is null or v.contract_end_date >= date '2001-06-30')) d
-where due < date '2001-06-30'""",
+  where v.contract_start_date <= date '2002-01-15'
+    and (v.contract_end_date is null or v.contract_end_date >= date '2002-01-15')) d
+where due < date '2002-01-15'""",
     "repeating_expenses": """
 select expense_ledger, vendor, count(*) "months",
   cast(sum(spent) as double) * 3 / count(*) suggested_quarterly
@@ -613,7 +613,7 @@ from interco i join pair_sums p on p.entity = i.entity and p.counterparty = i.co
 group by i.entity, i.counterparty, i.journal_id""",
     "interco_counts": """
 select (select count(*) from pair_sums) mismatches,
-  (select count(distinct journal_id) from interco where counterparty is null)
+  (select count(*) from (select distinct journal_id from interco where counterparty is null))
     missing_counterparties""",
     "interco_missing_counterparty": """
 select distinct journal_id from interco where counterparty is null""",
@@ -674,6 +674,8 @@ where journal_id in (select journal_id from journals_stored)""",
 select journal_id, cast(substr(journal_id, 2) as bigint) number from journals""",
     # audit
     "audit_log_entries": "select * from logs",
+    "audit_log_filtered": """
+select * from logs where "user" = 'ENT015' and "action" = 'Debit'""",
     "audit_timeline": """
 select "timestamp", "action" || ' by ' || "user" "event" from logs""",
     "audit_flags": """
@@ -756,8 +758,8 @@ select rid, concat('entity_code: ', coalesce(entity_code, 'nan'),
     "to_records": """
 select concat('{"id":', id, ',"journal_id":"', journal_id, '","transaction_date":"',
   transaction_date, '","account_code":"', account_code, '","amount":', amount,
-  ',"user_id":"', user_id, '","action_type":"', action_type, '","audit_status":"',
-  audit_status, '"}') "record" from audit_log""",
+  ',"user_id":"', user_id, '","action_type":"', action_type, '","change_details":',
+  to_json(change_details), ',"audit_status":"', audit_status, '"}') "record" from audit_log""",
     "sample_rows": """
 select journal_id, cast(entry_date as varchar) entry_date, account, type,
   cast(amount as double) amount, entity from journals

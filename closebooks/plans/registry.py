@@ -19,6 +19,7 @@ from closebooks.operators.vectors import vector_top_k
 from closebooks.sources.sample_views import SampleViews
 
 PROVISION_DATE = date(2001, 6, 30)
+LEDGER_DATE = date(2002, 1, 15)  # after the last expense: monthly contracts are due
 AUDIT_DATE = date(2024, 1, 31)
 
 View = Callable[[SampleViews], DataFrame]
@@ -50,9 +51,7 @@ def _ledger_of_interco(v: SampleViews) -> DataFrame:
 
 
 def _logs(v: SampleViews) -> DataFrame:
-    return audit.audit_log_entries(
-        jn.journal_dropna(v.journals), user="ENT015", action="Debit"
-    )
+    return audit.audit_log_entries(jn.journal_dropna(v.journals))
 
 
 def _sources(v: SampleViews) -> dict[str, DataFrame]:
@@ -145,7 +144,7 @@ VIEW_QUERIES: dict[str, View] = {
     "provision_spikes": lambda v: provisions.provision_spikes(v.provision_history),
     "provision_vs_actual": lambda v: provisions.provision_vs_actual(v.previous_provisions),
     "missing_regular": lambda v: provisions.missing_regular(
-        v.vendor_info, v.expense_ledger, PROVISION_DATE),
+        v.vendor_info, v.expense_ledger, LEDGER_DATE),
     "repeating_expenses": lambda v: provisions.repeating_expenses(v.provision_history),
     # consolidation
     "entity_summary": lambda v: con.entity_summary(v.consolidation),
@@ -187,6 +186,8 @@ VIEW_QUERIES: dict[str, View] = {
     "journal_id_number": lambda v: jn.journal_id_number(v.journals),
     # audit
     "audit_log_entries": _logs,
+    "audit_log_filtered": lambda v: audit.audit_log_entries(
+        jn.journal_dropna(v.journals), user="ENT015", action="Debit"),
     "audit_timeline": lambda v: audit.audit_timeline(_logs(v)),
     "audit_flags": lambda v: audit.audit_flags(_logs(v), v.audit_log),
     "audit_stale_pending": lambda v: audit.audit_stale_pending(v.audit_log, AUDIT_DATE),
@@ -216,7 +217,7 @@ VIEW_QUERIES: dict[str, View] = {
     "close_warnings": lambda v: _close(v, reporting.close_warnings),
     # text, records, vectors
     "row_documents": lambda v: row_documents(v.consolidation),
-    "to_records": lambda v: to_records(v.audit_log.drop("change_details")),
+    "to_records": lambda v: to_records(v.audit_log),
     "sample_rows": lambda v: sample_rows(v.journals, 5, [
         "entry_date", "journal_id", "account", "type", "amount", "entity"]),
     "feedback_gate": lambda v: feedback_gate(

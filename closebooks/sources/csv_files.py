@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,11 @@ from closebooks import fixed_values as V
 from closebooks.schemas import TABLE_SCHEMAS
 
 
+MALFORMED = "_malformed"
+BAD_ROW = "(row)"
+_RAW = "_raw_record"
+
+
 def snake_header(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
@@ -66,7 +71,8 @@ def _missing_to_null(c: Column) -> Column:
 def typed(df: DataFrame, schema: T.StructType, rejects: str | None = None) -> DataFrame:
     """Text columns cast to `schema`; a column the frame lacks is null.
 
-    With `rejects`, a column of that name lists the fields whose text did not parse.
+    With `rejects`, a column of that name lists the fields whose text did not parse, and
+    BAD_ROW where the row itself could not be cut into cells.
     """
     def cell(name: str) -> Column:
         return _missing_to_null(F.trim(F.col(f"`{name}`")))
@@ -79,36 +85,76 @@ def typed(df: DataFrame, schema: T.StructType, rejects: str | None = None) -> Da
         value = cell(f.name).try_cast(f.dataType)
         columns.append(value.alias(f.name))
         bad.append(F.when(cell(f.name).isNotNull() & value.isNull(), F.lit(f.name)))
-    kept = [F.col(f"`{c}`") for c in df.columns if c.startswith("_")]
+    kept = [F.col(f"`{c}`") for c in df.columns if c.startswith("_") and c != MALFORMED]
+    if MALFORMED in df.columns:
+        bad.append(F.when(F.col(MALFORMED), F.lit(BAD_ROW)))
     if rejects:
         kept.append(F.array_compact(F.array(*bad)).alias(rejects))
     return df.select(*columns, *kept)
 
 
-def _text_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     return (
-        spark.read.option("header", True).option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv").csv(paths)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE").option("pathGlobFilter", "*.csv")
+    )
+
+
+def _header(spark: SparkSession, paths: str | list[str], multi_line: bool) -> list[str]:
+    return _reader(spark, multi_line).csv(paths).columns
+
+
+def _text_csv(
+    spark: SparkSession, paths: str | list[str], multi_line: bool = False
+) -> DataFrame:
+    """All cells as text, and MALFORMED: more cells than headers, or an open quote.
+
+    Doubled quotes are quotes. A quoted line break needs `multi_line`, which reads each
+    file in one task; without it, such a row is malformed and never stored in two halves.
+    """
+    names = _header(spark, paths, multi_line)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
+    text = (
+        _reader(spark, multi_line).schema(schema)
+        .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False).csv(paths)
     )
+    # Spark refuses a query of the raw record alone; no characters of a cell are added to it.
+    raw = F.concat(F.col(_RAW), F.left(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), F.lit(0)))
+    commas = F.regexp_count(F.regexp_replace(raw, '"(?:[^"]|"")*"', ""), F.lit(","))
+    odd_quotes = F.regexp_count(raw, F.lit('"')) % 2 == 1
+    return text.withColumn(
+        MALFORMED, F.coalesce(odd_quotes | (commas >= len(names)), F.lit(False))).drop(_RAW)
+
+
+def _whole_rows(text: DataFrame) -> DataFrame:
+    """The rows without MALFORMED; reading a malformed one is an error."""
+    fail = F.raise_error(F.lit("malformed CSV row: too many cells, or an open quote"))
+    sound = F.when(F.col(MALFORMED), fail.cast("boolean")).otherwise(F.lit(True))
+    return text.filter(sound).drop(MALFORMED)
 
 
 def read_table_csv(
-    spark: SparkSession, path: str, table: str, rejects: str | None = None
+    spark: SparkSession, path: str, table: str, rejects: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file or folder (only *.csv) as the named table.
 
     Headers are normalized. Every column of the table must be present but for `id`.
     All files of a folder must have the same header; see `read_journals` otherwise.
+    Without `rejects`, a malformed row is an error.
     """
     schema = TABLE_SCHEMAS[table]
-    text = normalize_headers(_text_csv(spark, path))
+    text = _text_csv(spark, path, multi_line)
+    text = normalize_headers(text if rejects else _whole_rows(text))
     require_columns(text, [c for c in schema.names if c != "id"])
     return typed(text, schema, rejects)
 
 
-def read_named_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_named_csv(
+    spark: SparkSession, path: str, kind: str, multi_line: bool = False
+) -> DataFrame:
     """A CSV under its own headers, checked for the columns its kind requires."""
-    text = _text_csv(spark, path)
+    text = _whole_rows(_text_csv(spark, path, multi_line))
     require_columns(text, V.REQUIRED_COLUMNS[kind])
     return text.select(*[_missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
 
@@ -135,7 +181,7 @@ def by_layout(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     """Paths grouped by the header line of their file; headers are read side by side."""
     layouts: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(8) as pool:
-        headers = pool.map(lambda p: tuple(_text_csv(spark, p).columns), paths)
+        headers = pool.map(lambda p: tuple(_header(spark, p, False)), paths)
         for path, header in zip(paths, headers):
             layouts.setdefault(header, []).append(path)
     return list(layouts.values())
@@ -144,12 +190,12 @@ def by_layout(spark: SparkSession, paths: list[str]) -> list[list[str]]:
 def text_rows(
     spark: SparkSession, paths: list[str], rule: Callable[[str], str]
 ) -> DataFrame:
-    """Files of one layout as text under normalized headers, with _source_file."""
+    """Files of one layout as text under normalized headers, with _source_file, MALFORMED."""
     text = _text_csv(spark, paths)
-    names = _renamed(text.columns, rule)
+    cells = [c for c in text.columns if c != MALFORMED]
     return text.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(text.columns, names)],
-        F.col("_metadata.file_path").alias("_source_file"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(cells, _renamed(cells, rule))],
+        F.col("_metadata.file_path").alias("_source_file"), MALFORMED,
     )
 
 
@@ -160,7 +206,8 @@ def union_journal_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     if not paths:
         raise FileNotFoundError("no CSV files")
-    frames = [text_rows(spark, group, journal_header) for group in by_layout(spark, paths)]
+    frames = [_whole_rows(text_rows(spark, group, journal_header))
+              for group in by_layout(spark, paths)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     data = [c for c in union.columns if c != "_source_file"]
     return union.select(
@@ -210,22 +257,49 @@ CHECK_COLUMNS = {
         "Account": ("account", "string"), "Debit": ("debit", "decimal(15,2)"),
         "Credit": ("credit", "decimal(15,2)"), "Entity": ("entity", "string"),
     },
+    "interco_matrix": {
+        "Entity": ("entity", "string"), "Counterparty": ("counterparty", "string"),
+        "Amount": ("amount", "decimal(15,2)"), "Account": ("account", "string"),
+    },
 }
 
 
 def to_check_columns(df: DataFrame, kind: str) -> DataFrame:
-    """Title-case file columns to the typed columns the operators work on."""
+    """Title-case file columns to the typed columns the operators work on.
+
+    A cell that does not parse is an error when its row is read; `unreadable_cells` lists
+    all of them beforehand. A check never drops such a row as if the cell were empty.
+    """
     require_columns(df, V.REQUIRED_COLUMNS[kind])
-    return df.select(
-        *[
-            F.col(f"`{header}`").try_cast(type_).alias(name)
-            for header, (name, type_) in CHECK_COLUMNS[kind].items()
-        ]
+
+    def cell(header: str, type_: str) -> Column:
+        value = F.col(f"`{header}`")
+        parsed = value.try_cast(type_)
+        fail = F.raise_error(F.concat(F.lit(f"unreadable {header}: "), value.cast("string")))
+        return F.when(value.isNotNull() & parsed.isNull(), fail.cast(type_)).otherwise(parsed)
+
+    return df.select(*[cell(header, type_).alias(name)
+                       for header, (name, type_) in CHECK_COLUMNS[kind].items()])
+
+
+def unreadable_cells(df: DataFrame, kind: str) -> DataFrame:
+    """(field, value, row_count) of the cells that `to_check_columns` cannot parse."""
+    require_columns(df, V.REQUIRED_COLUMNS[kind])
+    bad = [
+        F.when(F.col(f"`{header}`").isNotNull() & F.col(f"`{header}`").try_cast(type_).isNull(),
+               F.struct(F.lit(header).alias("field"),
+                        F.col(f"`{header}`").cast("string").alias("value")))
+        for header, (_, type_) in CHECK_COLUMNS[kind].items()
+    ]
+    return (
+        df.select(F.explode(F.array_compact(F.array(*bad))).alias("cell"))
+        .groupBy("cell.field", "cell.value").agg(F.count(F.lit(1)).alias("row_count"))
     )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header that `_text_csv` reads back unchanged (line breaks: multi_line)."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

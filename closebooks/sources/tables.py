@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from closebooks.operators.audit import ordered
@@ -47,6 +47,20 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def with_row_ids(df: DataFrame, columns: list[str], source: Column) -> DataFrame:
+    """Column `id`: the row's own, or a key made of its source and its cells.
+
+    Equal rows of a source are told apart by their copy number, so ids are distinct, never
+    null, and the same when an upload is repeated.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns if c != "id"]
+    digest = F.md5(F.concat_ws("\x1f", source, *cells).cast("binary"))
+    copy = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+    own = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
+    made = F.concat_ws("-", F.col("_digest"), copy.cast("string"))
+    return df.withColumn("_digest", digest).withColumn("id", F.coalesce(own, made)).drop("_digest")
+
+
 def append(df: DataFrame, table: str, database: str = "default") -> None:
     """Add rows to an existing table, partitioned or not.
 

@@ -29,6 +29,7 @@ from closebooks.schemas import BATCH_KEYS, TABLE_SCHEMAS
 from closebooks.sources.csv_files import (
     by_layout, literal_path, missing_columns, snake_header, text_rows, typed,
 )
+from closebooks.sources.tables import with_row_ids
 
 # --- Fixed values: layout of the file source, and reasons in the outcome log --
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -166,13 +167,17 @@ def ingest_files(
     reasons: dict[int, str] = dict.fromkeys(lacking, REASON_COLUMNS)
     counts: dict[int, int] = {}
     if rows is not None:
-        # The checks and the write share one parse of the text.
+        # The checks and the write share one parse of the text. A part lost with its
+        # executor is parsed again, so a landed file must not be rewritten meanwhile.
         rows = rows.persist(StorageLevel.DISK_ONLY)
         try:
             counts = _judge(spark, rows, len(files), table, store, batch_id, known, reasons)
             taken = [i for i in range(len(files)) if i not in reasons]
             (
-                rows.filter(F.col("_file").isin(taken)).select(*TABLE_SCHEMAS[table].names)
+                with_row_ids(
+                    rows.filter(F.col("_file").isin(taken)), TABLE_SCHEMAS[table].names,
+                    F.element_at(F.split("_source_file", "/"), -1))
+                .select(*TABLE_SCHEMAS[table].names)
                 .write.mode("overwrite").parquet(f"{store}/ingest_batch={batch_id}")
             )
         finally:

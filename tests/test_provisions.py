@@ -107,37 +107,50 @@ def test_spikes_fill_forward_zero_and_earlier_period(spark):
     assert pct["A"] == pytest.approx(30) and pct["B"] is None
 
 
-@pytest.mark.parametrize("hot_rows, max_hot", [(0, 1000), (3, 1000), (20, 1000), (0, 1), (10**9, 10)])
-def test_spikes_do_not_depend_on_how_hot_groups_are_cut(spark, hot_rows, max_hot):
+def test_spikes_equal_a_walk_through_the_rows(spark):
+    """Repeated row keys, nulls, NaN, negative amounts, groups of one period."""
     import random
 
     rnd = random.Random(7)
     data = []
-    for i in range(400):
-        vendor = "hot" if i % 3 == 0 else f"v{rnd.randint(0, 9)}"
-        period = f"2024-{rnd.randint(1, 4):02d}-01" if rnd.random() > 0.05 else None
-        amount = rnd.choice([None, 0.0, 10.0, 11.0, 12.5, 20.0, -3.0])
-        data.append(("L", vendor, period, amount))
-    h = history(spark, data)
-    plain = rows(pr.provision_spikes(h, hot_rows=10**9))
-    assert rows(pr.provision_spikes(h, hot_rows=hot_rows, max_hot=max_hot)) == plain
-    assert plain == brute_force_spikes(data)
-
-
-def brute_force_spikes(data):
+    for i in range(600):
+        vendor = "hot" if i % 3 == 0 else "one" if i % 11 == 0 else f"v{rnd.randint(0, 9)}"
+        period = None if rnd.random() < 0.05 else f"2024-{rnd.randint(1, 4):02d}-01"
+        amount = rnd.choice([None, 0.0, 10.0, 11.0, 12.5, 20.0, -3.0, float("nan")])
+        key = str(i if i % 4 else rnd.randint(0, 5))
+        data.append(("L", vendor, "2024-01-01" if vendor == "one" else period, amount, key))
+    h = spark.createDataFrame(
+        [(g, v, p and day(p), a, k) for g, v, p, a, k in data],
+        "expense_ledger string, vendor string, period date, amount double, rid string")
+    got = pr.provision_spikes(h)
+    assert rows(got) == walked_spikes(data)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "broadcast" not in plan
+
+
+def test_spikes_with_a_repeated_key_and_nulls_of_one_period(spark):
+    h = spark.createDataFrame(
+        [("L", "V", day("2024-01-01"), None, "a"), ("L", "V", day("2024-01-01"), -5.0, "a"),
+         ("L", "V", day("2024-02-01"), -10.0, "b")],
+        "expense_ledger string, vendor string, period date, amount double, rid string")
+    assert rows(pr.provision_spikes(h), "previous_amount") == [(-5.0,)]
+
+
+def walked_spikes(data):
     import hashlib
 
     groups: dict = {}
-    for i, (g, v, p, a) in enumerate(data):
-        digest = hashlib.md5(str(i).encode()).hexdigest()
-        groups.setdefault((g, v), []).append((p or "9999", digest, p, a))
+    for g, v, p, a, key in data:
+        a = None if a is None or a != a else a
+        digest = hashlib.md5(key.encode()).hexdigest()
+        groups.setdefault((g, v), []).append((p or "9999", digest, a is not None, a or 0.0, p, a))
     out = []
     for (g, v), members in groups.items():
-        members.sort(key=lambda m: m[:2])
+        members.sort(key=lambda m: m[:4])
         known = None
-        for at, (order, _, p, a) in enumerate(members):
+        for at, (order, *_, p, a) in enumerate(members):
             earlier = [m for m in members[:at] if m[0] < order]
-            previous = earlier[-1][3] if earlier else None
+            previous = earlier[-1][5] if earlier else None
             if a is not None:
                 if known == 0 and a > 0:
                     out.append((g, v, day(p), a, previous, None))
