@@ -789,6 +789,39 @@ select vec_id, cast(row_number() over (order by d, vec_id) as integer) "rank" fr
     (select embedding from embeddings where vec_id = 0) q order by d, e.vec_id limit 4) t""",
 }
 
+_ORDER_TEXT = """
+select concat(' ', o_orderkey) order_id,
+  case when o_orderkey % 11 = 0 then '2024-13-01' when o_orderkey % 13 = 0 then 'n/a'
+    else strftime(o_orderdate, '%Y-%m-%d') end order_date,
+  case when o_orderkey % 7 = 0 then 'abc' when o_orderkey % 5 = 0 then ' '
+    else cast(cast(o_totalprice as decimal(15,2)) as varchar) end total_price
+from orders"""
+BODIES |= {
+    "headers_normalized": _ORDER_TEXT,
+    "journal_headers": f"""
+select order_id "Journal ID", order_date "Type", total_price "Amount" from ({_ORDER_TEXT})""",
+    "typed_rejects": """
+select cast(o_orderkey as varchar) order_id,
+  case when o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0
+    then strftime(o_orderdate, '%Y-%m-%d') end order_date,
+  case when o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0
+    then cast(cast(o_totalprice as decimal(15,2)) as double) end total_price,
+  cast(null as varchar) note,
+  concat_ws(',', case when o_orderkey % 11 = 0 then 'order_date' end,
+    case when o_orderkey % 7 = 0 then 'total_price' end) bad
+from orders""",
+    "layouts_union": f"""
+select order_id, case when cast(trim(order_id) as bigint) % 2 = 0 then order_date end order_date,
+  case when cast(trim(order_id) as bigint) % 2 <> 0 then total_price end total_price
+from ({_ORDER_TEXT})""",
+    "stored_layout": """
+select concat(digest, '-', row_number() over (partition by digest)) id, journal_id, description,
+  cast(null as double) debit_amount
+from (select cast(l_suppkey as varchar) journal_id, l_returnflag description,
+    md5(concat_ws(chr(31), 'upload.csv', cast(l_suppkey as varchar), l_returnflag)) digest
+  from lineitem)""",
+}
+
 
 def _uses(sql: str, name: str) -> bool:
     return re.search(rf"\b(?:from|join)\s+{name}\b", sql) is not None

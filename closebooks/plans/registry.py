@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import dates_as_text, money_as_double
@@ -16,6 +17,7 @@ from closebooks.operators import journals as jn
 from closebooks.operators.feedback import feedback_gate, feedback_sections
 from closebooks.operators.rows import row_documents, sample_rows, to_records
 from closebooks.operators.vectors import vector_top_k
+from closebooks.sources import csv_files, tables
 from closebooks.sources.sample_views import SampleViews
 
 PROVISION_DATE = date(2001, 6, 30)
@@ -229,6 +231,53 @@ VIEW_QUERIES: dict[str, View] = {
 }
 
 
+def _order_text(v: SampleViews) -> DataFrame:
+    """Orders as a CSV gives them: text under free headers, with cells that do not parse."""
+    key = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    return v.raw("orders").select(
+        F.concat(F.lit(" "), key.cast("string")).alias(" Order ID "),
+        F.when(key % 11 == 0, "2024-13-01").when(key % 13 == 0, "n/a")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Order Date"),
+        F.when(key % 7 == 0, "abc").when(key % 5 == 0, " ").otherwise(price)
+        .alias("Total Price"),
+    )
+
+
+def _typed_rejects(v: SampleViews) -> DataFrame:
+    schema = (T.StructType().add("order_id", T.StringType()).add("order_date", T.DateType())
+              .add("total_price", T.DecimalType(15, 2)).add("note", T.StringType()))
+    rows = csv_files.typed(csv_files.normalize_headers(_order_text(v)), schema, "bad")
+    return rows.withColumn("bad", F.array_join("bad", ","))
+
+
+def _layouts_union(v: SampleViews) -> DataFrame:
+    rows = csv_files.normalize_headers(_order_text(v))
+    even = F.trim("order_id").cast("long") % 2 == 0
+    return rows.filter(even).drop("total_price").unionByName(
+        rows.filter(~even).drop("order_date"), allowMissingColumns=True)
+
+
+def _stored_layout(v: SampleViews) -> DataFrame:
+    """Rows with many equal ones, as an upload stores them: ids made, absent columns null."""
+    rows = v.raw("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("journal_id"),
+        F.col("l_returnflag").alias("description"))
+    keyed = tables.with_row_ids(rows, ["journal_id", "description"], F.lit("upload.csv"))
+    return tables.conform(keyed, "journal_entries").select(
+        "id", "journal_id", "description", "debit_amount")
+
+
+VIEW_QUERIES |= {
+    "headers_normalized": lambda v: csv_files.normalize_headers(_order_text(v)),
+    "journal_headers": lambda v: csv_files.normalize_journal_headers(
+        _order_text(v).toDF("journal id", " ENTRY_TYPE", "amount")),
+    "typed_rejects": _typed_rejects,
+    "layouts_union": _layouts_union,
+    "stored_layout": _stored_layout,
+}
+
+
 def _registered(build: View) -> Query:
     """Money as double and dates as text, the form both engines can be compared in."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
