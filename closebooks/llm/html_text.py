@@ -29,11 +29,15 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACES = re.compile("[\x20\x09-\x0d]+")
 NAMES = re.compile("[a-z]+")
+QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 ABOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+")  # class names about other parts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset(
+#: Elements inside a line of text whose own text is none of the page's.
+MUTE_TAGS = frozenset("button select svg math canvas audio video object map".split())
+INLINE = MUTE_TAGS | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
     "nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end a paragraph's reach: an open <p> outside of them stays open.
@@ -43,19 +47,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: What an implied end of these cannot pass.
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"},
          "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "a": {"td", "table"}}
-DROP_TAGS = frozenset(
-    "head script style noscript template nav footer aside iframe svg math button select textarea "
-    "dialog menu object canvas audio video title form header noembed noframes map".split())
+DROP_TAGS = frozenset("head template nav footer aside dialog menu form".split())
+HEAD_TAGS = frozenset("header div section hgroup".split())  # heads by tag or by class name
 DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
     "form".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs "
-    "comment comments commentlist consent cookie cookies discussion disqus footer gdpr header "
+    "comment comments commentlist consent cookie cookies discussion disqus footer gdpr "
     "login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination paywall popup promo promotion recommended related replies reply "
     "respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe "
-    "subscription teaser toolbar widget widgets".split())
+    "subscription toolbar widget widgets".split())
+ADVERT_NAMES = frozenset("ad ads advert advertisement adverts promo sponsored".split())
 GOOD_NAMES = frozenset("article blog body content entry main page post story text".split())
 KEEPERS = frozenset(["article", "main"])
 PRIOR = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0,
@@ -71,11 +75,12 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.good = ["#"], [-1], [0]
         self.drop, self.named = [False], [False]  # hidden; not article text by tag or name
+        self.head, self.mute = [False], [False]  # a head of its parent; silent inside a line
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         self._open = [0]
         self._text: list[str] = []
         self._links = 0
-        self._in_link = 0
+        self._in_link = self._muted = 0
         self._read(source)
         self._flush()
 
@@ -89,6 +94,8 @@ class Page:
         self._links = 0
 
     def _say(self, text: str) -> None:
+        if self._muted:
+            return
         if "&" in text:
             text = html.unescape(text)
         self._text.append(text)
@@ -100,6 +107,7 @@ class Page:
         if any(t not in INLINE for t in gone):
             self._flush()
         self._in_link -= gone.count("a")
+        self._muted -= sum(self.mute[i] for i in self._open[depth:])
         del self._open[depth:]
 
     def _find(self, wanted: set[str], stop: frozenset[str] | set[str]) -> int:
@@ -133,13 +141,17 @@ class Page:
             " ", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())))
         role = attributes.get("role", "").lower()
         style = attributes.get("style", "").replace(" ", "").lower()
-        hidden = "display:none" in style or "visibility:hidden" in style or bool(
-            re.search(r"(?:^|\s)hidden(?:\s|$|=)", rest)) or (
-            attributes.get("aria-hidden", "").lower() == "true")
+        hidden = "display:none" in style or "visibility:hidden" in style or (
+            attributes.get("aria-hidden", "").lower() == "true") or (
+            "hidden" in rest and bool(HIDDEN.search(QUOTED.sub('""', rest))))
+        inline = tag in INLINE
         whole = tag in ("html", "body") or tag in KEEPERS
         self.tag.append(tag)
         self.parent.append(up)
         self.drop.append(hidden)
+        self.head.append(tag == "header" or tag in HEAD_TAGS and "header" in names)
+        self.mute.append(inline and (hidden or tag in MUTE_TAGS or bool(names & ADVERT_NAMES)))
+        self._muted += self.mute[-1]
         self.named.append(tag in DROP_TAGS or role in DROP_ROLES or (
             not whole and bool(names & DROP_NAMES)) or (
             tag in KEEPERS and bool(names & {"comment", "comments", "reply", "teaser", "related"})))
@@ -191,16 +203,17 @@ class Page:
             up = self.parent[i]
             in_keeper[i] = in_keeper[up] or self.tag[i] in KEEPERS
             named = self.named[i]
-            if self.tag[i] == "header" and in_keeper[up]:
-                named = False  # an article's own head; only its headings are kept below
-            elif self.tag[i] not in KEEPERS and holds[i]:
+            # An article's own head stays, but only its headings are kept below.
+            named |= self.head[i] and not in_keeper[up]
+            if self.tag[i] not in KEEPERS and holds[i]:
                 named = False  # a wrapper around the article
             drop[i] = drop[up] or self.drop[i] or named
         heads = [False] * n
         for i in range(1, n):
-            heads[i] = heads[self.parent[i]] or self.tag[i] == "header" and not drop[i]
+            up = self.parent[i]
+            heads[i] = heads[up] or self.head[i] and in_keeper[up] and not holds[i]
         blocks = [b for b in self.blocks if not drop[b[0]] and not (
-            heads[b[0]] and self.tag[b[0]] not in HEADINGS and not holds[b[0]])]
+            heads[b[0]] and self.tag[b[0]] not in HEADINGS)]
         if not blocks:
             return []
         chars, links, points, text_in = [0] * n, [0] * n, [0.0] * n, [False] * n
@@ -241,7 +254,10 @@ class Page:
             best = inside  # all of the article that holds the best part
         keep = [False] * n
         keep[best] = True
-        for i in range(best > 0 and self.parent[best] + 1 or n, n):
+        # What stands beside an article element is not the article; beside a plain container,
+        # parts of the same text often are.
+        alone = best == 0 or self.tag[best] in KEEPERS
+        for i in range(n if alone else self.parent[best] + 1, n):
             if i == best or self.parent[i] != self.parent[best] or not chars[i]:
                 continue
             if self.tag[i] == "p":

@@ -131,6 +131,16 @@ def test_html_without_article_element():
         "Second one, also long enough, with a link in it, and so on.", "item one", "item two"]
 
 
+def test_html_article_head_and_silent_parts():
+    page = """<body><div class="page-header"><h1>Site</h1></div><article>
+    <div class="article-header"><h1>Title</h1><p>by someone, yesterday</p></div>
+    <p>Text <button>Share</button>with <span class="ad">Buy!</span>a <i title="a hidden gem">gem</i>
+    <span hidden>secret</span>in it.</p><p hidden>no</p><table><tr><th class="header">One</th>
+    <td>Two</td></tr></table></article></body>"""
+    assert html_text.extract(page).split("\n\n") == [
+        "Title", "Text with a gem in it.", "One", "Two"]
+
+
 def test_suffix_dedup(spark, texts, monkeypatch):
     owner = {}
     for i in sorted(texts):
