@@ -127,6 +127,16 @@ def elimination_totals(tb: DataFrame, ic: DataFrame, order: str | None = None) -
     )
 
 
+def tb_of_stored(stored: DataFrame, balance: str = "closing") -> DataFrame:
+    """The stored trial balance as input of the consolidation: one of its three balances."""
+    if balance not in ("opening", "current", "closing"):
+        raise ValueError(f"no such balance: {balance}")
+    return stored.select(
+        F.col("entity_code").alias("entity"), F.col("account_name").alias("account"),
+        F.col(f"{balance}_debit").alias("debit"), F.col(f"{balance}_credit").alias("credit"),
+    )
+
+
 def tb_eliminations(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
     """One elimination per intercompany row whose both sides are in the trial balance."""
     amounts = elimination_totals(tb, ic, order).select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
-from closebooks.operators import interco, vectors
+from closebooks.operators import consolidation, interco, vectors
 from closebooks.plans import close
 from closebooks.schemas import TABLE_SCHEMAS
 from closebooks.sources import csv_files, tables
@@ -114,6 +114,29 @@ def test_interco_counts_equal_their_lists(spark):
     assert count.mismatches == interco.interco_mismatches(ic).count() == 1
 
 
+def test_stored_trial_balance_and_matrix_meet_in_the_consolidation(spark, tmp_path):
+    folder = tmp_path / "matrix"
+    folder.mkdir()
+    (folder / "m.csv").write_text(
+        "Entity,Counterparty,Amount,Account\nA,B,30.00,Loan receivable\n")
+    matrix = csv_files.to_check_columns(
+        csv_files.read_named_csv(spark, str(folder), "interco_matrix"), "interco_matrix")
+    spark.sql("create database if not exists books")
+    tables.create_tables(spark, "books")
+    layout = TABLE_SCHEMAS["trial_balance"]
+    tables.append(spark.createDataFrame(
+        [(e, "1", "Loan receivable", *[money(x) for x in ("0", "0", "5", "0", d, c)])
+         for e, d, c in (("A", "30.00", "0.00"), ("B", "0.00", "20.00"))], layout),
+        "trial_balance", "books")
+    tb = consolidation.tb_of_stored(spark.table("books.trial_balance"))
+    out = close.consolidate(tb, matrix)
+    assert rows(out["consolidated_trial_balance"]) == [("Loan receivable", money("-10.00"))]
+    current = consolidation.tb_of_stored(spark.table("books.trial_balance"), "current")
+    assert rows(current, "debit") == [(money("5.00"),), (money("5.00"),)]
+    with pytest.raises(ValueError, match="no such balance"):
+        consolidation.tb_of_stored(tb, "middle")
+
+
 @pytest.mark.parametrize("length", [64, 256])
 def test_distances_of_any_length(spark, length):
     df = spark.range(50).select(
