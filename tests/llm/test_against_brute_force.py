@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
@@ -189,6 +190,41 @@ def test_runs_merge_like_one():
         assert (whole.owner[whole.group][inside] == best[inside]).all()
 
 
+def test_a_passage_of_many_documents_is_dealt_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    passage = bytes(rng.integers(97, 123, 120).astype(np.uint8)).decode()
+
+    def noise(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    texts = {i: noise(60) + passage + noise(60) for i in range(1500)}
+    texts |= {2000 + i: noise(2) + passage + noise(2) for i in range(600)}
+    owner, want, loads = {}, set(), []
+    for i, text in texts.items():
+        for p in range(len(text) - 49):
+            owner.setdefault(text[p:p + 50], i)
+    for i, text in texts.items():
+        gone = np.zeros(len(text), bool)
+        for p in range(len(text) - 49):
+            if owner[text[p:p + 50]] < i:
+                gone[p:p + 50] = True
+        want.add((i, int(gone.sum()), "".join(c for c, g in zip(text, gone, strict=True) if not g)))
+
+    def in_parts(*given):
+        out = dealt(*given)
+        loads.append(out.groupBy("bucket", "part").agg(F.sum("weight").alias("n")).collect())
+        return out
+
+    dealt = suffix_dedup.in_parts
+    monkeypatch.setattr(suffix_dedup, "in_parts", in_parts)
+    frame = spark.createDataFrame(texts.items(), "doc_id long, text string").repartition(40)
+    rows = suffix_dedup.without_repeats(frame, 20_000).collect()
+    assert {(r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in rows} == want
+    assert len(loads) == 1 and max(r.part for r in loads[0]) > 5
+    whole = max(sum(r.n for r in loads[0] if r.bucket == b) for b in {r.bucket for r in loads[0]})
+    assert whole > 100_000 and max(r.n for r in loads[0]) < 40_000
+
+
 def test_toxicity_on_held_out_labels(spark):
     words = ["ape", "bat", "cat", "dog", "eel", "fox", "gnu", "hen"]
     rng = np.random.default_rng(3)
