@@ -5,8 +5,10 @@
 2. BANDS bands of minima put nodes into buckets. Two sets of similarity 0.8 share no bucket
    with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
 3. Inside a bucket, nodes whose signatures agree are joined by a search that visits each node
-   once and leaves a spanning forest, not all pairs; large buckets are cut into blocks, and
-   every two blocks are searched together. The signatures' slack is 4.5 standard deviations.
+   once and leaves a spanning forest, not all pairs. Large buckets are cut into blocks, each
+   searched together with the first; of a bucket that this leaves in several components, the
+   largest is then searched against the rest, and the rest against itself, block by block.
+   The signatures' slack is 4.5 standard deviations.
 4. Components of that forest hold every link. Their nodes bring their full sets, and the
    same search, now on exact similarities, leaves a spanning forest of the confirmed links;
    large components are cut into blocks again.
@@ -26,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebooks.llm.common import sorted_groups, stored
@@ -209,40 +211,96 @@ def _with_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, blocks: str, keep: list[str]) -> DataFrame:
-    """Rows sorted into (group, block, block): each row meets every block of its group once."""
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col(blocks)).cast("int")
+def _in_blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows sorted into (group, block, block): row of block `own` meets blocks `lo` to `hi`."""
     return (
-        rows.withColumn("own", own)
-        .withColumn("met", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-        .select(F.col(group).alias("g"), F.least("own", "met").alias("i"),
-                F.greatest("own", "met").alias("j"), *keep)
+        rows.withColumn("met", F.explode(F.sequence("lo", "hi")))
+        .select("g", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), *keep)
         .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
     )
 
 
+def _block(count: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit("block")), F.col(count)).cast("int")
+
+
+def _by_first(rows: DataFrame, group: str) -> DataFrame:
+    """Every block of a group meets the first, which so is the one that is sent often."""
+    last = (F.col("blocks") - 1).cast("int")
+    return rows.withColumns({"g": F.col(group), "own": _block("blocks")}).withColumns({
+        "lo": F.when(F.col("own") == 0, F.least(F.lit(1), last)).otherwise(0),
+        "hi": F.when(F.col("own") == 0, last).otherwise(0)})
+
+
+def _still_open(rows: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """Meetings of the groups that are in several components: g, node, own, lo, hi.
+
+    rows: g, node, weight. The blocks of a group's largest component meet those of the others,
+    which meet all blocks.
+    """
+    placed = rows.join(parts.select(F.col("node").alias("of"), "component"),
+                       F.col("node") == F.col("of"), "left").select(
+        "g", "node", "weight", F.coalesce("component", "node").alias("part"))
+    most = placed.groupBy("g", "part").agg(F.sum("weight").alias("size")).groupBy(
+        F.col("g").alias("group")).agg(
+        F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all")).where(
+        F.col("all") > F.col("top.size")).select(
+        "group", F.col("top.part").alias("largest"),
+        F.ceil(F.col("top.size") / block).alias("inner"),
+        F.ceil((F.col("all") - F.col("top.size")) / block).alias("outer"))
+    inside = F.col("part") == F.col("largest")
+    last = (F.col("inner") + F.col("outer") - 1).cast("int")
+    return placed.join(most.hint("merge"), F.col("g") == F.col("group")).select(
+        "g", "node",
+        F.when(inside, _block("inner")).otherwise(F.col("inner").cast("int") + _block("outer"))
+        .alias("own"),
+        F.when(inside, F.col("inner").cast("int")).otherwise(0).alias("lo"), last.alias("hi"))
+
+
+def _closed(first: DataFrame, rows: DataFrame, block: int, name: str,
+            search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) over the first edges and those that `search` finds in open groups.
+
+    rows: those of groups with several blocks.
+    """
+    parts = stored(components(first, name), f"{name}-parts")
+    still = stored(_still_open(rows, parts, block), f"{name}-open")
+    if still.isEmpty():
+        return parts
+    known = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return stored(components(known.unionByName(search(still)), name), f"{name}-parts")
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _signatures(words),
         "doc_id long, n long, node long, bands array<long>, light binary")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """Forest of nodes whose signatures agree, over all buckets of two nodes or more."""
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """Components of nodes whose signatures agree, over all buckets of two nodes or more."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = stored(
         rows.join(shared.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"))
         .select("node", "key", F.ceil(F.col("members") / BUCKET_BLOCK).alias("blocks")),
         "near-members")
-    signed_members = members.join(
-        nodes.select(F.col("node").alias("of"), "n", "light"), F.col("node") == F.col("of"))
-    return _in_blocks(signed_members, "key", "blocks", ["node", "n", "light"]).mapInArrow(
-        _search_buckets, "u long, v long")
 
+    def search(meetings: DataFrame) -> DataFrame:
+        signs = nodes.select(F.col("node").alias("of"), "n", "light")
+        return _in_blocks(
+            meetings.join(signs, F.col("node") == F.col("of")), ["node", "n", "light"]
+        ).mapInArrow(_search_buckets, "u long, v long")
+
+    return _closed(
+        search(_by_first(members, "key").drop("key", "blocks")),
+        members.where("blocks > 1").select(
+            F.col("key").alias("g"), "node", F.lit(1).cast("long").alias("weight")),
+        BUCKET_BLOCK, "near-candidate", search)
 
-def confirmed_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int) -> DataFrame:
-    """Forest of exact links inside the candidate groups (node, component)."""
+
+def confirmed_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    """Components of exact links inside the candidate groups (node, component)."""
     wanted = stored(
         groups.join(nodes.select(F.col("node").alias("of"), "n", "first"),
                     F.col("node") == F.col("of"))
@@ -250,15 +308,31 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words:
     # One document stands for a node.
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long"), "text")
-    # Sort-merge joins at every size: each moves its rows once, and splits hot keys.
-    sets = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("first")).select(
-        "node", F.col("component").alias("group"), "text").mapInArrow(
-        _with_sets(words), "node long, group long, set binary, light binary")
+
+    def sets(of: DataFrame) -> DataFrame:
+        # Sort-merge joins at every size: each moves its rows once, and splits hot keys.
+        return texts.join(of.hint("merge"), F.col("doc_id") == F.col("first")).select(
+            "node", F.col("component").alias("group"), "text").mapInArrow(
+            _with_sets(words), "node long, group long, set binary, light binary")
+
+    def linked_in(rows: DataFrame) -> DataFrame:
+        return _in_blocks(rows, ["node", "set", "light"]).mapInArrow(
+            _search_sets, "u long, v long")
+
     size = wanted.groupBy(F.col("component").alias("of")).agg(
         F.ceil(F.sum("n") / SET_BLOCK).alias("blocks"))
-    rows = sets.join(size, F.col("group") == F.col("of"))
-    return _in_blocks(rows, "group", "blocks", ["node", "set", "light"]).mapInArrow(
-        _search_sets, "u long, v long")
+
+    def search(meetings: DataFrame) -> DataFrame:
+        met = meetings.select(F.col("node").alias("at"), "g", "own", "lo", "hi")
+        again = sets(wanted.join(met.select(F.col("at").alias("x")).hint("merge"),
+                                 F.col("node") == F.col("x")))
+        return linked_in(again.join(met.hint("merge"), F.col("node") == F.col("at")))
+
+    return _closed(
+        linked_in(_by_first(sets(wanted).join(size, F.col("group") == F.col("of")), "group")),
+        wanted.join(size.where("blocks > 1"), F.col("component") == F.col("of")).select(
+            F.col("component").alias("g"), "node", F.col("n").alias("weight")),
+        SET_BLOCK, "near-link", search)
 
 
 def linked(docs: DataFrame, words: int) -> DataFrame:
@@ -269,9 +343,7 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
             F.min("doc_id").alias("first"), F.first("n").alias("n"),
             F.first("bands").alias("bands"), F.first("light").alias("light")),
         "near-nodes")
-    groups = stored(components(candidate_edges(nodes), "near-candidate"), "near-groups")
-    parts = stored(
-        components(confirmed_edges(docs, nodes, groups, words), "near-link"), "near-parts")
+    parts = confirmed_groups(docs, nodes, candidate_groups(nodes), words)
     member = nodes.select(F.col("node").alias("of"), "first").join(
         parts, F.col("of") == F.col("node"), "left").select(
         "of", "first", F.coalesce("component", "of").alias("component"))

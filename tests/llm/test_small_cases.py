@@ -134,6 +134,34 @@ def test_near_dedup(docs, empty):
     assert near_dedup.deduplicated(empty).count() == 0
 
 
+def test_near_dedup_sends_a_large_group_about_twice(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 2000)
+    sent, deal = [], type(spark.range(0)).repartition
+
+    def repartition(frame, *by):
+        if by == ("g", "i", "j"):
+            sent.append((frame.count(), frame.select("g", "node").distinct().count()))
+        return deal(frame, *by)
+
+    monkeypatch.setattr(type(spark.range(0)), "repartition", repartition)
+
+    def linked(texts):
+        frame = spark.createDataFrame(texts, "doc_id long, text string")
+        return {r.doc_id: r.component_id for r in near_dedup.linked(frame, 2).collect()}
+
+    body = [f"w{k}" for k in range(100)]
+    family = [(i, " ".join([*body, f"own{i}"])) for i in range(300)]
+    assert set(linked(family).values()) == {0}
+    assert len(sent) >= 2 and all(rows <= 3 * met for rows, met in sent)
+    # A chain: only near neighbours are linked, mostly not with the first block.
+    chain = [(i, " ".join(f"c{k}" for k in range(2 * i, 2 * i + 100))) for i in range(150)]
+    apart = [(1000 + i, " ".join(f"x{i}y{k}" for k in range(60))) for i in range(20)]
+    found = linked(chain + apart + [(2000 + i, text) for i, text in family])
+    assert found == {**dict.fromkeys(range(150), 0), **{i: i for i, _ in apart},
+                     **dict.fromkeys(range(2000, 2300), 2000)}
+
+
 def test_suffix_dedup(spark, docs, empty):
     got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
            for r in suffix_dedup.passage_digest(docs).collect()}
