@@ -60,6 +60,9 @@ DROP_NAMES = frozenset(
     "respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split())
 ADVERT_NAMES = frozenset("ad ads advert advertisement adverts promo sponsored".split())
+REPLY_NAMES = frozenset(
+    "comment comments commentlist disqus replies reply respond".split())
+LINKED = 0.5  # share of links from which a named container of an article is left out
 GOOD_NAMES = frozenset("article blog body content entry main page post story text".split())
 KEEPERS = frozenset(["article", "main"])
 PRIOR = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0,
@@ -75,6 +78,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.good = ["#"], [-1], [0]
         self.drop, self.named = [False], [False]  # hidden; not article text by tag or name
+        self.called = [""]  # by a name of DROP_NAMES: "name", or "sure" for adverts and comments
         self.head, self.mute = [False], [False]  # a head of its parent; silent inside a line
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         self._open = [0]
@@ -137,8 +141,12 @@ class Page:
         up = self._open[-1]
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} \
             if "=" in rest else {}
-        names = set(NAMES.findall(ABOUT.sub(
-            " ", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())))
+        classes = set(NAMES.findall(ABOUT.sub(" ", attributes.get("class", "").lower())))
+        # Ids are often made of a heading's words: only a whole id, or its last word, is a name.
+        ident = NAMES.findall(ABOUT.sub(" ", attributes.get("id", "").lower()))
+        names = classes | set(ident)
+        own = classes if tag in HEADINGS or tag in PARAGRAPHS else classes | set(ident[-1:])
+        sure = own if len(ident) < 2 else classes
         role = attributes.get("role", "").lower()
         style = attributes.get("style", "").replace(" ", "").lower()
         hidden = "display:none" in style or "visibility:hidden" in style or (
@@ -150,10 +158,12 @@ class Page:
         self.parent.append(up)
         self.drop.append(hidden)
         self.head.append(tag == "header" or tag in HEAD_TAGS and "header" in names)
-        self.mute.append(inline and (hidden or tag in MUTE_TAGS or bool(names & ADVERT_NAMES)))
+        self.mute.append(inline and (hidden or tag in MUTE_TAGS or bool(sure & ADVERT_NAMES)))
         self._muted += self.mute[-1]
+        self.called.append(
+            "" if whole or not own & DROP_NAMES
+            else "sure" if sure & (ADVERT_NAMES | REPLY_NAMES) else "name")
         self.named.append(tag in DROP_TAGS or role in DROP_ROLES or (
-            not whole and bool(names & DROP_NAMES)) or (
             tag in KEEPERS and bool(names & {"comment", "comments", "reply", "teaser", "related"})))
         self.good.append(len(names & GOOD_NAMES))
         self._open.append(len(self.tag) - 1)
@@ -198,11 +208,22 @@ class Page:
             told[self.parent[i]] += told[i]
         for i in range(n):  # the page's title with most of its paragraphs is the article
             holds[i] |= titled[i] and 2 * told[i] > told[0]
+        size, linked_size = [0] * n, [0] * n
+        for at, text, linked in self.blocks:
+            size[at] += len(text)
+            linked_size[at] += linked
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            linked_size[self.parent[i]] += linked_size[i]
         in_keeper, drop = [False] * n, [False] * n
         for i in range(1, n):
             up = self.parent[i]
             in_keeper[i] = in_keeper[up] or self.tag[i] in KEEPERS
-            named = self.named[i]
+            named = self.named[i] or self.called[i] == "sure"
+            if self.called[i] == "name":  # in an article, only a container of links
+                named |= not in_keeper[up] or (
+                    self.tag[i] not in HEADINGS and self.tag[i] not in PARAGRAPHS
+                    and linked_size[i] >= LINKED * size[i])
             # An article's own head stays, but only its headings are kept below.
             named |= self.head[i] and not in_keeper[up]
             if self.tag[i] not in KEEPERS and holds[i]:

@@ -224,6 +224,24 @@ def test_html(spark):
     assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_html_keeps_what_only_sounds_like_an_advert():
+    said = "Prices rose again on Monday, traders said, and the market closed well above its mark."
+    page = f"""<html><body><article><h1>Markets</h1><p>{said} One.</p>
+        <h2 id="share-prices-fell">Share prices fell</h2><p id="notice-1">{said} Two.</p>
+        <section id="search-and-rescue"><p>{said} Three.</p></section>
+        <section id="advertising-revenue"><p>{said} Four.</p></section>
+        <section class="social"><p>{said} Five.</p></section>
+        <h2 id="comments">Comments of the chair</h2><p>{said} Six.</p>
+        <div class="share"><a href="/f">Share this</a></div>
+        <div class="ad">Buy now.</div><div id="comments"><p>{said} A reader.</p></div>
+        </article><div class="sidebar"><p>{said} Beside.</p></div></body></html>"""
+    numbers = ["One", "Two", "Three", "Four", "Five", "Six"]
+    want = ["Markets", *(f"{said} {x}." for x in numbers)]
+    want.insert(2, "Share prices fell")
+    want.insert(7, "Comments of the chair")
+    assert html_text.extract(page).split("\n\n") == want
+
+
 def test_top_k(spark):
     schema = "vec_id long, embedding array<float>, score int"
     rows = [(0, [1.0, 2.0], 1), (50, [0.5], 2), (1, [float("nan"), 1.0], 1), (2, None, 1),
