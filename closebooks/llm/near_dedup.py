@@ -115,8 +115,9 @@ def _signatures(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 light.append((least & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(light, pa.binary())],
-                names=["doc_id", "n", "node", "bands", "light"])
+                 batch.column(2), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(light, pa.binary())],
+                names=["doc_id", "n", "node", "mark", "bands", "light"])
 
     return run
 
@@ -272,9 +273,14 @@ def _closed(first: DataFrame, rows: DataFrame, block: int, name: str,
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text", _mark()).mapInArrow(
         _signatures(words),
-        "doc_id long, n long, node long, bands array<long>, light binary")
+        "doc_id long, n long, node long, mark long, bands array<long>, light binary")
+
+
+def _mark() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text").alias("mark")
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -335,8 +341,8 @@ def confirmed_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words
         SET_BLOCK, "near-link", search)
 
 
-def linked(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, words: int) -> DataFrame:
+    """Per document: doc_id, n, node, mark; its component's node and least doc_id."""
     signs = stored(signed(docs, words), "near-signatures")
     nodes = stored(
         signs.where("n > 0 and doc_id is not null").groupBy("node").agg(
@@ -348,9 +354,15 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
         parts, F.col("of") == F.col("node"), "left").select(
         "of", "first", F.coalesce("component", "of").alias("component"))
     least = member.groupBy(F.col("component").alias("part")).agg(F.min("first").alias("least"))
-    named = member.join(least, F.col("component") == F.col("part")).select("of", "least")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    named = member.join(least, F.col("component") == F.col("part")).select("of", "part", "least")
     return signs.join(named, F.col("node") == F.col("of"), "left").select(
+        "doc_id", "n", "node", "mark", "part", "least")
+
+
+def linked(docs: DataFrame, words: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return _placed(docs, words).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -358,13 +370,18 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """One document of each component, with all its columns; the one with the least doc_id.
 
-    Of rows that repeat a kept doc_id one stays; all rows without doc_id stay.
+    Rows that share a doc_id are documents of their own where their texts are not linked. Of
+    equal rows by doc_id and text one stays; all rows without doc_id stay.
     """
+    # A text without words has no component: it is one of its own for each doc_id.
     kept = stored(
-        linked(docs, words).where("kept and doc_id is not null")
-        .select(F.col("doc_id").alias("id")).distinct(), "near-kept")
+        _placed(docs, words).where("doc_id is not null and doc_id = coalesce(least, doc_id)")
+        .groupBy(F.col("doc_id").alias("id"), "part")
+        .agg(F.min(F.struct("node", "mark")).alias("first"))
+        .select("id", F.col("first.mark").alias("kept_mark")).distinct(), "near-kept")
     rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("of"), F.struct(*docs.columns).alias("row"))
-    found = rows.join(kept.hint("merge"), F.col("of") == F.col("id"))
-    one = found.groupBy("id").agg(F.min("row").alias("row"))
+        F.col("doc_id").cast("long").alias("of"), _mark(), F.struct(*docs.columns).alias("row"))
+    found = rows.join(kept.hint("merge"), (F.col("of") == F.col("id"))
+                      & (F.col("mark") == F.col("kept_mark")))
+    one = found.groupBy("id", "mark").agg(F.min("row").alias("row"))
     return one.select("row.*").unionByName(docs.where("doc_id is null"))

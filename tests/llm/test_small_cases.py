@@ -134,6 +134,14 @@ def test_near_dedup(docs, empty):
     assert near_dedup.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_keeps_unlinked_texts_of_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b + " more"), (2, b), (0, a), (3, c), (3, c), (4, ""), (4, c)]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert found in ([(0, a), (1, b), (3, c), (4, "")], [(0, a), (1, b + " more"), (3, c), (4, "")])
+
+
 def test_near_dedup_sends_a_large_group_about_twice(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "SET_BLOCK", 2000)
