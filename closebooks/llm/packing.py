@@ -35,6 +35,7 @@ from tokenizers import Tokenizer
 from closebooks.llm.bpe import byte_letters, read_spec
 
 GROUP_BYTES = 2 << 20  # of text, on average
+TASK_GROUPS = 8  # that a task packs one after the other, on average
 ROW_BYTES = 16  # that a document counts besides its text
 LEAST_PIECE = 8  # shorter gaps are left to padding
 CLOSING = 1  # the id after each document
@@ -248,7 +249,9 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048,
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _encode(spec, groups), "doc_id long, ids binary, mark long, group long")
-    return tokens.groupBy("group").applyInArrow(_pack_group(capacity), PIECE)
+    # The number of tasks follows the text, whatever the session's number of shuffle partitions.
+    dealt = tokens.repartition(math.ceil(groups / TASK_GROUPS), "group")
+    return dealt.groupBy("group").applyInArrow(_pack_group(capacity), PIECE)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
