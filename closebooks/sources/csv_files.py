@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -100,19 +100,65 @@ def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     )
 
 
-def _header(spark: SparkSession, paths: str | list[str], multi_line: bool) -> list[str]:
-    return _reader(spark, multi_line).csv(paths).columns
+def literal_path(path: str) -> str:
+    """A path whose brackets, stars and the like are not a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def header_groups(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Files (as Spark names their rows' source) by their header line.
+
+    The headers of all files are read as data, in one job: the first line that is not
+    empty in the block at each file's start. One row a file comes back. A file without
+    any line has no header. A header with a line break inside quotes is a group of its own.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = (
+        lines.filter((F.col("start") == 0) & (F.length(F.trim("line")) > 0))
+        .groupBy("file").agg(F.min_by("line", "place").alias("line"))
+    )
+    groups: dict[str, list[str]] = {}
+    for r in first.collect():
+        open_quote = r["line"].count('"') % 2 == 1
+        groups.setdefault(r["line"] + (r["file"] if open_quote else ""), []).append(r["file"])
+    return {line: sorted(files) for line, files in sorted(groups.items())}
+
+
+def paths_of(files: Iterable[str]) -> list[str]:
+    """Paths for reading of files that Spark has named as a source."""
+    return [literal_path(unquote(f)) for f in files]
+
+
+def _by_header(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """What to read with one schema: the path itself, or a list of files per header.
+
+    A single file needs no look at its header, and a folder of one header is read whole.
+    """
+    names = _reader(spark, False).text(path).inputFiles()
+    if not names:
+        raise FileNotFoundError(f"no CSV files in {path}")
+    if len(names) == 1:
+        return [path]
+    groups = header_groups(spark, path)
+    return [path] if len(groups) == 1 else [paths_of(files) for files in groups.values()]
 
 
 def _text_csv(
     spark: SparkSession, paths: str | list[str], multi_line: bool = False
 ) -> DataFrame:
-    """All cells as text, and MALFORMED: more cells than headers, or an open quote.
+    """Files of one header: all cells as text, and MALFORMED: too many cells, or an open quote.
 
     Doubled quotes are quotes. A quoted line break needs `multi_line`, which reads each
     file in one task; without it, such a row is malformed and never stored in two halves.
     """
-    names = _header(spark, paths, multi_line)
+    # Spark looks at one of the files; all have this header.
+    one = paths if isinstance(paths, str) else paths[0]
+    names = _reader(spark, multi_line).csv(one).columns
+    if not names:
+        raise ValueError(f"no header in {one}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
     text = (
         _reader(spark, multi_line).schema(schema)
@@ -133,65 +179,62 @@ def _whole_rows(text: DataFrame) -> DataFrame:
     return text.filter(sound).drop(MALFORMED)
 
 
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    """Rows of all layouts by column name; a column that a layout lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def read_table_csv(
     spark: SparkSession, path: str, table: str, rejects: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file or folder (only *.csv) as the named table.
 
-    Headers are normalized. Every column of the table must be present but for `id`.
-    All files of a folder must have the same header; see `read_journals` otherwise.
+    Headers are normalized, and cells go by the header of their own file: the files of a
+    folder may differ in the order of their columns and in columns the table does not have.
+    Every file must have every column of the table but for `id`.
     Without `rejects`, a malformed row is an error.
     """
     schema = TABLE_SCHEMAS[table]
-    text = _text_csv(spark, path, multi_line)
-    text = normalize_headers(text if rejects else _whole_rows(text))
-    require_columns(text, [c for c in schema.names if c != "id"])
-    return typed(text, schema, rejects)
+    frames = []
+    for files in _by_header(spark, path):
+        text = _text_csv(spark, files, multi_line)
+        text = normalize_headers(text if rejects else _whole_rows(text))
+        require_columns(text, [c for c in schema.names if c != "id"])
+        columns = [*schema.names, rejects] if rejects else schema.names
+        frames.append(typed(text, schema, rejects).select(*columns))
+    return _union(frames)
 
 
 def read_named_csv(
     spark: SparkSession, path: str, kind: str, multi_line: bool = False
 ) -> DataFrame:
-    """A CSV under its own headers, checked for the columns its kind requires."""
-    text = _whole_rows(_text_csv(spark, path, multi_line))
-    require_columns(text, V.REQUIRED_COLUMNS[kind])
-    return text.select(*[_missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    """CSV files under their own headers, each checked for the columns its kind requires."""
+    frames = []
+    for files in _by_header(spark, path):
+        text = _whole_rows(_text_csv(spark, files, multi_line))
+        require_columns(text, V.REQUIRED_COLUMNS[kind])
+        frames.append(
+            text.select(*[_missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns]))
+    return _union(frames)
 
 
 def _files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the CSV files of a folder; file names only, no data."""
     try:
-        listing = (
-            spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-        )
-        return sorted(literal_path(r.path) for r in listing.select("path").collect())
+        names = _reader(spark, False).text(folder).inputFiles()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
-
-
-def literal_path(path: str) -> str:
-    """A path whose brackets, stars and the like are not a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
-def by_layout(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths grouped by the header line of their file; headers are read side by side."""
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(8) as pool:
-        headers = pool.map(lambda p: tuple(_header(spark, p, False)), paths)
-        for path, header in zip(paths, headers):
-            layouts.setdefault(header, []).append(path)
-    return list(layouts.values())
+    return paths_of(sorted(names))
 
 
 def text_rows(
-    spark: SparkSession, paths: list[str], rule: Callable[[str], str]
+    spark: SparkSession, paths: list[str], rule: Callable[[str], str], multi_line: bool = False
 ) -> DataFrame:
     """Files of one layout as text under normalized headers, with _source_file, MALFORMED."""
-    text = _text_csv(spark, paths)
+    text = _text_csv(spark, paths, multi_line)
     cells = [c for c in text.columns if c != MALFORMED]
     return text.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(cells, _renamed(cells, rule))],
@@ -206,9 +249,11 @@ def union_journal_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     if not paths:
         raise FileNotFoundError("no CSV files")
-    frames = [_whole_rows(text_rows(spark, group, journal_header))
-              for group in by_layout(spark, paths)]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    groups = header_groups(spark, paths).values()
+    if not groups:
+        raise ValueError("no header in any of the CSV files")
+    union = _union(_whole_rows(text_rows(spark, paths_of(group), journal_header))
+                   for group in groups)
     data = [c for c in union.columns if c != "_source_file"]
     return union.select(
         *[_missing_to_null(F.col(f"`{c}`")).alias(c) for c in data], "_source_file"
