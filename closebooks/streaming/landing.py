@@ -7,9 +7,10 @@ taken whole or refused whole:
 * a column is missing, or a cell cannot be read as its type;
 * one of its keys is stored already, or belongs to an earlier accepted file.
 
-Every micro-batch owns one partition of the store and of the outcome log and
-overwrites it. A repeated batch therefore replaces its own earlier output, and sees
-only what older batches stored: rows are kept exactly once.
+Every micro-batch owns one partition of the store, of its key index and of the outcome
+log and overwrites it. A repeated batch therefore replaces its own earlier output, and
+sees only what older batches stored: rows are kept exactly once. Stored keys are looked
+up in the index, older batches are merged into larger files: see `store`.
 """
 
 from __future__ import annotations
@@ -18,18 +19,17 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from closebooks.operators.journals import journal_existing_keys
 from closebooks.schemas import BATCH_KEYS, TABLE_SCHEMAS
 from closebooks.sources.csv_files import (
-    by_layout, literal_path, missing_columns, snake_header, text_rows, typed,
+    header_groups, literal_path, missing_columns, paths_of, snake_header, text_rows, typed,
 )
 from closebooks.sources.tables import with_row_ids
+from closebooks.streaming import store as st
 
 # --- Fixed values: layout of the file source, and reasons in the outcome log --
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -45,15 +45,7 @@ def stored_rows(
     spark: SparkSession, store: str, table: str, before: int | None = None
 ) -> DataFrame | None:
     """What the stream has stored, or None; optionally of older batches only."""
-    batch = T.StructField("ingest_batch", T.LongType())
-    schema = T.StructType([*TABLE_SCHEMAS[table].fields, batch])
-    try:
-        rows = spark.read.schema(schema).parquet(store)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return rows if before is None else rows.filter(F.col("ingest_batch") < before)
+    return st.read_batches(spark, st.rows_of(store, table), before)
 
 
 @dataclass(frozen=True)
@@ -75,19 +67,19 @@ def _listed(spark: SparkSession, paths: list[str]) -> list[_File]:
 
 
 def _read(
-    spark: SparkSession, files: list[_File], table: str
+    spark: SparkSession, files: list[_File], table: str, multi_line: bool
 ) -> tuple[DataFrame | None, set[int]]:
     """Typed rows of the well-formed files, numbered by file; files that lack columns."""
     schema = TABLE_SCHEMAS[table]
     needed = [c for c in schema.names if c != "id"]
-    number = {literal_path(f.path): i for i, f in enumerate(files)}
-    frames, lacking = [], set()
-    for group in by_layout(spark, list(number)):
-        text = text_rows(spark, group, snake_header)
-        if missing_columns(text, needed):
-            lacking |= {number[p] for p in group}
-        else:
-            frames.append(typed(text, schema, rejects="_unreadable"))
+    number = {f.source: i for i, f in enumerate(files)}
+    frames, lacking = [], set(range(len(files)))
+    for group in header_groups(spark, [literal_path(f.path) for f in files]).values():
+        text = text_rows(spark, paths_of(group), snake_header, multi_line)
+        if not missing_columns(text, needed):
+            lacking -= {number[source] for source in group}
+            frames.append(typed(text, schema, rejects="_unreadable").select(
+                *schema.names, "_source_file", "_unreadable"))
     if not frames:
         return None, lacking
     names = spark.createDataFrame(
@@ -101,12 +93,12 @@ def _read(
 def _shared_pairs(keys: DataFrame, key: str) -> set[tuple[int, int]]:
     """(earlier, later) file numbers with a key in common.
 
-    A key lies in at most as many files as a micro-batch holds, and so do the pairs.
+    Keys are cut to the different sets of files they lie in before any pair is formed.
     """
+    sets = keys.groupBy(key).agg(F.sort_array(F.collect_set("_file")).alias("f")).filter(
+        F.size("f") > 1).select("f").distinct()
     files = (
-        keys.groupBy(key).agg(F.sort_array(F.collect_set("_file")).alias("f"))
-        .filter(F.size("f") > 1)
-        .select(F.posexplode("f").alias("at", "first"), "f")
+        sets.select(F.posexplode("f").alias("at", "first"), "f")
         .select("first", F.explode(F.slice("f", F.col("at") + 2, F.size("f"))).alias("second"))
         .distinct()
     )
@@ -151,7 +143,8 @@ def _judge(
     key = BATCH_KEYS.get(table)
     if key:
         keys = rows.select("_file", key).filter(F.col(key).isNotNull()).distinct()
-        older = stored_rows(spark, store, table, before=batch_id)
+        st.index_older(spark, store, table, batch_id)
+        older = st.stored_keys(spark, store, keys, key, batch_id)
         stored = [d for d in (older, known) if d is not None]
         reasons |= _refused_by_key(keys, key, stored, files, set(reasons))
     return counts
@@ -159,11 +152,14 @@ def _judge(
 
 def ingest_files(
     spark: SparkSession, paths: list[str], table: str, store: str, log: str, batch_id: int,
-    known: DataFrame | None = None,
+    known: DataFrame | None = None, multi_line: bool = False,
 ) -> None:
-    """Take one micro-batch of files, oldest first. Safe to repeat."""
+    """Take one micro-batch of files, oldest first. Safe to repeat.
+
+    With `multi_line`, line breaks inside quotes are read, each file by one task.
+    """
     files = _listed(spark, paths)
-    rows, lacking = _read(spark, files, table)
+    rows, lacking = _read(spark, files, table, multi_line)
     reasons: dict[int, str] = dict.fromkeys(lacking, REASON_COLUMNS)
     counts: dict[int, int] = {}
     if rows is not None:
@@ -173,13 +169,12 @@ def ingest_files(
         try:
             counts = _judge(spark, rows, len(files), table, store, batch_id, known, reasons)
             taken = [i for i in range(len(files)) if i not in reasons]
-            (
-                with_row_ids(
-                    rows.filter(F.col("_file").isin(taken)), TABLE_SCHEMAS[table].names,
-                    F.element_at(F.split("_source_file", "/"), -1))
-                .select(*TABLE_SCHEMAS[table].names)
-                .write.mode("overwrite").parquet(f"{store}/ingest_batch={batch_id}")
-            )
+            accepted = rows.filter(F.col("_file").isin(taken))
+            if table in BATCH_KEYS:
+                st.index_batch(accepted, store, table, batch_id)
+            st.write_batch(with_row_ids(
+                accepted, TABLE_SCHEMAS[table].names,
+                F.element_at(F.split("_source_file", "/"), -1)), st.rows_of(store, table), batch_id)
         finally:
             rows.unpersist()
     outcome = [
@@ -192,13 +187,25 @@ def ingest_files(
     )
 
 
+def merge_older(
+    spark: SparkSession, store: str, table: str, before: int, span: int = st.SPAN
+) -> None:
+    """Merge the rows, and the keys, of whole ranges of older batches. Safe to repeat."""
+    if table in BATCH_KEYS:
+        st.index_older(spark, store, table, before)
+        st.merge_batches(spark, st.index_of(store), before, span)
+    st.merge_batches(spark, st.rows_of(store, table), before, span)
+
+
 def ingest_stream(
     spark: SparkSession, folder: str, table: str, store: str, log: str, checkpoint: str,
-    known: DataFrame | None = None, max_files: int = 100,
+    known: DataFrame | None = None, max_files: int = 100, multi_line: bool = False,
+    merge_span: int = st.SPAN,
 ) -> StreamingQuery:
     """Take all files now in the folder, oldest first, then stop; start again for more.
 
-    `known` is a table whose keys count as stored besides those of the store.
+    `known` is a table whose keys count as stored besides those of the store. Whenever
+    `merge_span` batches are done, they are merged into larger files.
     """
     paths = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
@@ -209,8 +216,11 @@ def ingest_stream(
     def take(batch: DataFrame, batch_id: int) -> None:
         # At most max_files names; the rows are read by the executors.
         found = [r["path"] for r in batch.collect()]
+        session = batch.sparkSession
+        if batch_id and batch_id % merge_span == 0:
+            merge_older(session, store, table, batch_id, merge_span)
         if found:
-            ingest_files(batch.sparkSession, found, table, store, log, batch_id, known)
+            ingest_files(session, found, table, store, log, batch_id, known, multi_line)
 
     return (
         paths.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
