@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HASH = "_join_hash"
+COPIES = 100_000  # of one row that a task writes out
 
 
 def lookup_join(
@@ -62,3 +63,28 @@ def first_per_key(
         .agg(F.min_by(F.struct(*columns), order).alias("_first"))
         .select(*keys, *[F.col("_first")[c].alias(c) for c in columns])
     )
+
+
+def numbered_copies(
+    df: DataFrame, columns: list[str], number: str, most: int = COPIES
+) -> DataFrame:
+    """Every row of `columns`, with the numbers 1, 2, ... among the rows equal to it.
+
+    Equal rows cannot be told apart, so they are not ranked but counted, which combines on
+    the map side, and written out again; a row with more than `most` copies by many tasks.
+    """
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    n, part = F.col("_copies"), F.col("_part")
+    few = counted.filter(n <= most).select(
+        *columns, F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias(number))
+    parts = counted.filter(n > most).select(
+        *columns, "_copies",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {most}")))
+        .alias("_part"))
+    # A number of tasks, as few rows that write out many would be put together by their size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(tasks, F.xxhash64(*columns), part)
+    many = dealt.select(
+        *columns,
+        F.explode(F.sequence(part * most + 1, F.least(n, (part + 1) * most))).alias(number))
+    return few.unionByName(many)

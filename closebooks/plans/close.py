@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from closebooks.operators.feedback import feedback_sections
 from closebooks.operators.rows import row_documents
 from closebooks.schemas import BATCH_KEYS, READ_BACK_ORDER, TABLE_SCHEMAS
 from closebooks.sources import tables
-from closebooks.sources.csv_files import read_table_csv
+from closebooks.sources.csv_files import BAD_ROW, read_table_csv
 
 Sections = dict[str, DataFrame]
 
@@ -79,6 +81,7 @@ class Outcome:
     status: str
     error: str | None = None
     sections: Sections = field(default_factory=dict)
+    upload_id: str | None = None
 
 
 # --- Fixed values: error texts of an upload ------------------------------------
@@ -105,44 +108,78 @@ def passes_review(review: str, domain: str) -> bool:
 
 def process_upload(
     spark: SparkSession, path: str, table: str, review: str | None = None,
-    as_of: date | None = None, database: str = "default",
+    as_of: date | None = None, database: str = "default", multi_line: bool = False,
+    upload_id: str | None = None,
 ) -> Outcome:
     """Read a CSV, check it, append it to its table, and hand back what is stored.
 
     `review` is a reviewer's text on the upload; without the phrases of its domain the
     upload is refused. Journals and intercompany uploads are refused as a whole when a
     key is stored already; `existing_keys` names those. An upload with a cell or row that
-    cannot be read is refused as a whole. The check and the append are two steps: uploads
-    of the same keys must not run at the same time.
+    cannot be read is refused as a whole. With `multi_line`, line breaks inside quotes are
+    read.
+
+    The upload is one unit of the table, known by `upload_id`: if none is given, by its file
+    name and its rows. A call that fails leaves none of its rows to be read and may be
+    repeated; rows that are stored under the id already are not stored twice. The check and
+    the append are two steps: uploads of the same keys must not run at the same time.
     """
     if review is not None and not passes_review(review, _GATE_OF_TABLE[table]):
         return Outcome("error", GATE_ERROR)
-    read = read_table_csv(spark, path, table, rejects="_unreadable")
-    fields = read.select(F.explode("_unreadable").alias("field")).distinct().orderBy("field")
-    unreadable = [r.field for r in fields.collect()]  # names of columns: few
+    read = read_table_csv(spark, path, table, rejects="_unreadable", multi_line=multi_line)
+    # The checks and the write share one parse of the text.
+    read = read.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _checked_upload(spark, read, path, table, review, as_of, database, upload_id)
+    finally:
+        read.unpersist()
+
+
+def _checked_upload(
+    spark: SparkSession, read: DataFrame, path: str, table: str, review: str | None,
+    as_of: date | None, database: str, upload_id: str | None,
+) -> Outcome:
+    names = TABLE_SCHEMAS[table].names
+    fields = sorted([*names, BAD_ROW])
+    found = read.agg(
+        *[F.bool_or(F.array_contains("_unreadable", f)).alias(f"bad{i}")
+          for i, f in enumerate(fields)],
+        *tables.upload_digest(read.drop("_unreadable"))).head()
+    unreadable = [f for i, f in enumerate(fields) if found[f"bad{i}"]]
     if unreadable:
         return Outcome("error", f"Unreadable values in {path}: {', '.join(unreadable)}")
-    batch = tables.with_row_ids(
-        read.drop("_unreadable"), TABLE_SCHEMAS[table].names, F.lit(os.path.basename(path)))
-    stored = tables.table_data(spark, f"{database}.{table}")
+    source = os.path.basename(path.rstrip("/"))
+    rows = found["row_count"]
+    digest = hashlib.md5(
+        f"{source}|{rows}|{found['crossed']}|{found['added']}".encode()).hexdigest()
+    upload_id = upload_id or digest
+    batch = tables.with_row_ids(read.drop("_unreadable"), names, F.lit(source))
+    name = f"{database}.{table}"
+    stored = tables.table_data(spark, name)
     key = BATCH_KEYS.get(table)
     if key:
         existing = journals.journal_existing_keys(batch, stored, key)
         if not existing.isEmpty():
             error = STORED_ERROR.format(key=key)
-            return Outcome("error", error, {"existing_keys": existing.orderBy(key)})
-    tables.append(batch, table, database)
-    spark.catalog.refreshTable(f"{database}.{table}")
-    stored = tables.table_data(spark, f"{database}.{table}")
+            # The keys outlive the parse that found them: there is none after this call.
+            return Outcome("error", error, {"existing_keys": existing.orderBy(key)}, upload_id)
+    if tables.takes_uploads(spark, name):
+        tables.store_upload(batch, table, database, upload_id, rows, digest)
+        batch = tables.upload_rows(spark, name, upload_id)
+    else:  # a table of before uploads had ids
+        tables.append(batch, table, database)
+        spark.catalog.refreshTable(name)
+    stored = tables.table_data(spark, name)
     if not key:
         report = _REPORTS[table](batch.withColumn("rid", _row_key(batch)), as_of)
-        return Outcome("success", None, {"data": tables.stored_ordered(stored, table), **report})
+        return Outcome(
+            "success", None, {"data": tables.stored_ordered(stored, table), **report}, upload_id)
     order = tuple(c for c, _ in READ_BACK_ORDER[table].columns)
     sections = {"data": journals.read_back(batch, stored, key, order)}
     if table == "interco_reconciliation" and review is not None:
         text = spark.createDataFrame([(1, review)], "id int, text string")
         sections["reconciliation_report"] = feedback_sections(text).drop("id")
-    return Outcome("success", None, sections)
+    return Outcome("success", None, sections, upload_id)
 
 
 def _row_key(df: DataFrame):
