@@ -11,10 +11,12 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import contains_any, count_rows, exceeds, total
+from closebooks.operators import cells as ce
 from closebooks.operators.skew import first_per_key, key_presence, lookup_join
 
 
@@ -35,12 +37,44 @@ def account_summary(c: DataFrame) -> DataFrame:
 
 
 def unbalanced_entities(c: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) -> DataFrame:
-    return entity_summary(c).filter(exceeds(F.col("net_position"), tolerance)).select(
+    return _unbalanced(entity_summary(c), tolerance)
+
+
+def _unbalanced(positions: DataFrame, tolerance: Decimal) -> DataFrame:
+    return positions.filter(exceeds(F.col("net_position"), tolerance)).select(
         F.col("entity_code").alias("entity"), F.lit(V.ISSUE_UNBALANCED).alias("issue"),
         "net_position",
     )
 
 
+def position_cells(c: DataFrame) -> DataFrame:
+    """Sums per entity and account name, from which the positions follow."""
+    debit, credit = total("debit_amount"), total("credit_amount")
+    keys = {"entity": F.col("entity_code"), "account": F.col("account_name")}
+    return ce.cells_of(c, keys, [
+        count_rows().alias("rows"), debit.alias("total_debit"), credit.alias("total_credit"),
+        (debit - credit).alias("net_position"), (debit + credit).alias("moved")])
+
+
+def summaries_of_cells(
+    cells: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE
+) -> dict[str, DataFrame]:
+    """Positions by name, and the rows (and what they move) that each leaves out."""
+    names = ["total_debit", "total_credit", "net_position"]
+    entities = ce.section(cells, "entity", names, "entity_code")
+    return {
+        "entity_summary": entities,
+        "account_summary": ce.section(cells, "account", names, "account_name"),
+        "consolidation_issues": _unbalanced(entities, tolerance),
+        "excluded_rows": ce.left_out(cells, ["entity", "account"], "rows", "moved"),
+    }
+
+
+def position_excluded_rows(c: DataFrame) -> DataFrame:
+    """section, row_count, amount: rows without an entity, and without an account name."""
+    return summaries_of_cells(position_cells(c))["excluded_rows"]
+
+
 def _intercompany(c: DataFrame) -> DataFrame:
     return c.filter(F.col("interco_flag") == "Y")
 
@@ -95,14 +129,52 @@ def net_amount() -> Column:
     return F.col("debit") - F.col("credit")
 
 
-def _first_net(tb: DataFrame, order: str | None) -> DataFrame:
-    """|net| of the first trial-balance row per (entity, account); null counts as 0."""
+def _sides(tb: DataFrame, cells: DataFrame, order: str | None) -> DataFrame:
+    """account, cell, own_size, other_size, net: the trial balance beside what refers to it.
+
+    `cells` are reduced intercompany rows with entity, counterparty and account. Each asks
+    for |net| of the first trial-balance row of its two sides; the balance is cut to one row
+    per (entity, account), which also gives the net. Both meet in one window over (entity,
+    account), so each table is read once. A row without a cell is the balance itself. A cell
+    that lacks an entity, counterparty or account asks for nothing and stays by itself.
+    """
     by = F.col(order) if order else F.struct("debit", "credit")
-    rows = tb.select(
-        "entity", "account", by.alias("_by"),
-        F.abs(F.coalesce(net_amount(), F.lit(0))).alias("size"),
-    ).filter(F.col("entity").isNotNull() & F.col("account").isNotNull())
-    return first_per_key(rows, ["entity", "account"], F.col("_by"), ["size"])
+    first = F.min_by(F.abs(F.coalesce(net_amount(), F.lit(0))), by)
+    balance = tb.filter(F.col("account").isNotNull()).groupBy("entity", "account").agg(
+        F.when(F.col("entity").isNotNull(), first).alias("size"), total(net_amount()).alias("net"))
+    cell = F.struct(*cells.columns)
+    asks = (F.col("entity").isNotNull() & F.col("counterparty").isNotNull()
+            & F.col("account").isNotNull())
+
+    def ask(at: Column, own: bool | None, account: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(own).cast("boolean").alias("own"),
+                        account.alias("of"))
+
+    account, nothing = F.col("account"), F.lit(None).cast("string")
+    alone = F.array(ask(F.xxhash64(*cells.columns).cast("string"), None, nothing))
+    asked = cells.select(cell.alias("cell"), F.inline(F.when(asks, F.array(
+        ask(F.col("entity"), True, account),
+        ask(F.col("counterparty"), False, account))).otherwise(alone)))
+    both = balance.select(
+        F.col("entity").alias("at"), F.col("account").alias("of"), "size", "net",
+    ).unionByName(asked, allowMissingColumns=True)
+    sized = both.withColumn("size", F.max("size").over(W.partitionBy("at", "of")))
+    account = F.coalesce(F.col("cell.account"), F.col("of"))
+    return sized.groupBy(account.alias("account"), "cell").agg(
+        F.max(F.when(F.col("own"), F.col("size"))).alias("own_size"),
+        F.max(F.when(~F.col("own"), F.col("size"))).alias("other_size"),
+        F.sum("net").alias("net"))
+
+
+def _triples(ic: DataFrame) -> DataFrame:
+    return ic.groupBy("entity", "counterparty", "account").agg(count_rows().alias("entries"))
+
+
+def _eliminated() -> tuple[Column, Column]:
+    """Amount of one elimination, and of all entries of the cell; null if a side is missing."""
+    each = F.when(F.col("own_size").isNotNull() & F.col("other_size").isNotNull(),
+                  F.least("own_size", "other_size"))
+    return each, each * F.col("cell.entries").cast("decimal(18,0)")
 
 
 def elimination_totals(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
@@ -111,20 +183,10 @@ def elimination_totals(tb: DataFrame, ic: DataFrame, order: str | None = None) -
     All rows of such a triple eliminate the same amount, so the intercompany table is
     reduced to triples by partial aggregation before it meets the trial balance.
     """
-    triples = ic.groupBy("entity", "counterparty", "account").agg(count_rows().alias("entries"))
-    own = _first_net(tb, order)
-    other = own.select(
-        F.col("entity").alias("counterparty"), "account", F.col("size").alias("other_size")
-    )
-    each = F.least("size", "other_size")
-    return (
-        triples.join(own, ["entity", "account"])
-        .join(other, ["counterparty", "account"])
-        .select(
-            "entity", "counterparty", "account", "entries", each.alias("elimination_amount"),
-            (each * F.col("entries").cast("decimal(18,0)")).alias("eliminated"),
-        )
-    )
+    each, eliminated = _eliminated()
+    return _sides(tb, _triples(ic), order).filter(each.isNotNull()).select(
+        "cell.entity", "cell.counterparty", "account", "cell.entries",
+        each.alias("elimination_amount"), eliminated.alias("eliminated"))
 
 
 def tb_of_stored(stored: DataFrame, balance: str = "closing") -> DataFrame:
@@ -146,22 +208,57 @@ def tb_eliminations(tb: DataFrame, ic: DataFrame, order: str | None = None) -> D
     return lookup_join(rows, amounts, ["entity", "counterparty", "account"])
 
 
+def _account_net() -> Column:
+    """Net of an account of the trial balance, less its eliminations; null for other accounts."""
+    _, eliminated = _eliminated()
+    return F.sum("net") - F.coalesce(F.sum(eliminated), F.lit(0))
+
+
 def consolidated_tb(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
     """Net per account over all entities, less everything eliminated on the account."""
-    net = (
-        tb.filter(F.col("account").isNotNull())
-        .groupBy("account")
-        .agg(total(net_amount()).alias("net"))
-    )
-    eliminated = (
-        elimination_totals(tb, ic, order).groupBy("account")
-        .agg(F.sum("eliminated").alias("eliminated"))
-    )
-    return net.join(eliminated, "account", "left").select(
-        "account", (F.col("net") - F.coalesce("eliminated", F.lit(0))).alias("net_amount")
+    return (
+        _sides(tb, _triples(ic), order).filter(F.col("account").isNotNull())
+        .groupBy("account").agg(_account_net().alias("net_amount"))
+        .filter(F.col("net_amount").isNotNull())
     )
 
 
+def ledger_counts(
+    tb: DataFrame, ic: DataFrame, order: str | None = None,
+    tolerance: Decimal = V.MONEY_TOLERANCE,
+) -> DataFrame:
+    """One row of figures: difference, unclassified, mismatches, missing_counterparties.
+
+    The first two are of the consolidated trial balance, the others those of
+    `interco_counts`. The two groupings, by account and by pair of entities, are taken
+    together over the same rows, so each table is read once.
+    """
+    paired = F.col("counterparty").isNotNull()
+    cells = ic.groupBy(
+        "entity", "counterparty", "account",
+        F.when(~paired, F.col("journal_id")).alias("journal"),
+    ).agg(count_rows().alias("entries"), total("amount").alias("amount"))
+    rows = _sides(tb, cells, order).select(
+        "account", "cell", "own_size", "other_size", "net",
+        F.when(F.col("cell.counterparty").isNotNull(), F.col("cell.entity")).alias("entity"),
+        F.col("cell.counterparty").alias("counterparty"), F.col("cell.journal").alias("journal"),
+        F.col("cell").isNotNull().alias("is_cell"))
+    pair = ["is_cell", "entity", "counterparty", "journal"]
+    by = [F.col(c) for c in ("account", *pair)]
+    groups = rows.groupingSets([by[:1], by[1:]], *by).agg(
+        F.grouping("account").alias("of_pair"), _account_net().alias("net_amount"),
+        F.sum("cell.amount").alias("amount"))
+    of_pair = (F.col("of_pair") == 1) & F.col("is_cell")
+    known = (F.col("of_pair") == 0) & F.col("account").isNotNull() & F.col("net_amount").isNotNull()
+    classified = in_balance_sheet() | in_profit_loss() | in_cash_flow()
+    return groups.agg(
+        total(F.when(known & in_balance_sheet(), F.col("net_amount"))).alias("difference"),
+        F.count_if(known & ~classified).alias("unclassified"),
+        F.count_if(of_pair & paired & F.col("entity").isNotNull()
+                   & exceeds(F.col("amount"), tolerance)).alias("mismatches"),
+        F.count_if(of_pair & ~paired).alias("missing_counterparties"))
+
+
 def in_balance_sheet() -> Column:
     return contains_any(F.col("account"), V.BALANCE_SHEET_WORDS)
 

@@ -16,6 +16,7 @@ from closebooks import fixed_values as V
 from closebooks.functions.exprs import (
     count_rows, differs, exceeds, fails_pattern, month_text, summed_levels, total,
 )
+from closebooks.operators import cells as ce
 from closebooks.operators.issues import Check, issue_rows
 from closebooks.operators.skew import key_presence
 
@@ -68,18 +69,46 @@ def gst_summary_levels(gst: DataFrame) -> DataFrame:
     level is vendor, month or all; key is the vendor or month, null for all. Rows are
     summed per vendor and month first; the grouping sets then copy only those sums.
     """
-    cells = gst.groupBy(
-        F.col("vendor_name").alias("vendor"), month_text("invoice_date").alias("month")
-    ).agg(
+    return levels_of_cells(gst_cells(gst))
+
+
+def gst_cells(gst: DataFrame) -> DataFrame:
+    """Sums per vendor and month, from which every summary of the register follows."""
+    keys = {"vendor": F.col("vendor_name"), "month": month_text("invoice_date")}
+    return ce.cells_of(gst, keys, [
         *_invoice_measures(),
         total("cgst_amount").alias("cgst"),
         total("sgst_amount").alias("sgst"),
         total("igst_amount").alias("igst"),
-    )
+    ])
+
+
+def levels_of_cells(cells: DataFrame) -> DataFrame:
     measures = [c for c in cells.columns if c not in ("vendor", "month")]
     return summed_levels(cells, ["vendor", "month"], measures)
 
 
+def summaries_of_cells(cells: DataFrame) -> dict[str, DataFrame]:
+    """The summaries above by name, and the rows that each leaves out for want of its key."""
+    invoices = ["total_invoices", "total_amount", "total_tax", "eligible_itc", "ineligible_itc"]
+    every = ce.overall(cells, [c for c in cells.columns if c not in ("vendor", "month")])
+    return {
+        "summaries": levels_of_cells(cells),
+        "vendor_summary": ce.section(cells, "vendor", invoices, "vendor_name"),
+        "itc_summary": every.select(
+            F.col("eligible_itc").alias("eligible"), F.col("ineligible_itc").alias("ineligible"),
+            F.col("total_amount").alias("total")),
+        "tax_summary": every.select("cgst", "sgst", "igst", "total_tax"),
+        "monthly_summary": ce.section(cells, "month", invoices),
+        "excluded_rows": ce.left_out(cells, ["vendor", "month"], "total_invoices", "total_amount"),
+    }
+
+
+def gst_excluded_rows(gst: DataFrame) -> DataFrame:
+    """section, row_count, amount: invoices without a vendor, and without a date."""
+    return summaries_of_cells(gst_cells(gst))["excluded_rows"]
+
+
 def _calculated_total() -> Column:
     return (
         F.col("taxable_amount") + F.col("cgst_amount") + F.col("sgst_amount")

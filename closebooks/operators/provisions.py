@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 from closebooks.functions.exprs import choose, count_rows, month_text, total
+from closebooks.operators import cells as ce
 from closebooks.operators.issues import Check, issue_rows
 
 
@@ -69,34 +70,92 @@ def _fixed_rows(df: DataFrame, label: str, conditions: dict[str, Column]) -> Dat
 
     All labels are measured in one aggregate, then laid out as rows.
     """
+    return _laid_out(df.agg(*_label_measures(label, conditions)), label, list(conditions))
+
+
+def _label_measures(label: str, conditions: dict[str, Column]) -> list[Column]:
     measures = []
-    for i, on in enumerate(conditions.values()):
+    for name, on in conditions.items():
         measures += [
-            F.count_if(on).alias(f"n{i}"),
-            total(F.when(on, F.col("amount"))).alias(f"t{i}"),
+            F.count_if(on).alias(f"{label}_{name}_count"),
+            total(F.when(on, F.col("amount"))).alias(f"{label}_{name}_amount"),
         ]
+    return measures
+
+
+def _laid_out(one: DataFrame, label: str, names: list[str]) -> DataFrame:
     rows = [
         F.struct(
-            F.lit(name).alias(label), F.col(f"n{i}").alias("count"),
-            F.col(f"t{i}").alias("total_amount"),
+            F.lit(name).alias(label), F.col(f"{label}_{name}_count").alias("count"),
+            F.col(f"{label}_{name}_amount").alias("total_amount"),
         )
-        for i, name in enumerate(conditions)
+        for name in names
     ]
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return one.select(F.inline(F.array(*rows)))
 
 
-def provision_frequency_summary(p: DataFrame) -> DataFrame:
-    conditions = {f.lower(): F.col("frequency") == f for f in V.FREQUENCY_MONTHS}
-    return _fixed_rows(p, "frequency", conditions)
+def _frequencies() -> dict[str, Column]:
+    return {f.lower(): F.col("frequency") == f for f in V.FREQUENCY_MONTHS}
 
 
-def provision_confidence(p: DataFrame) -> DataFrame:
-    """high, medium or low confidence; a missing score is low."""
+def _confidences() -> dict[str, Column]:
     score = F.col("confidence_score")
     high = F.coalesce(score > F.lit(V.CONFIDENCE_HIGH_ABOVE), F.lit(False))
     from_medium = F.coalesce(score >= F.lit(V.CONFIDENCE_MEDIUM_FROM), F.lit(False))
-    conditions = {"high": high, "medium": ~high & from_medium, "low": ~high & ~from_medium}
-    return _fixed_rows(p, "bucket", conditions)
+    return {"high": high, "medium": ~high & from_medium, "low": ~high & ~from_medium}
+
+
+def provision_frequency_summary(p: DataFrame) -> DataFrame:
+    return _fixed_rows(p, "frequency", _frequencies())
+
+
+def provision_confidence(p: DataFrame) -> DataFrame:
+    """high, medium or low confidence; a missing score is low."""
+    return _fixed_rows(p, "bucket", _confidences())
+
+
+def provision_cells(p: DataFrame) -> DataFrame:
+    """Sums per category and vendor, from which every summary follows."""
+    keys = {"category": F.col("expense_category"), "vendor": F.col("vendor_name")}
+    return ce.cells_of(p, keys, [
+        count_rows().alias("total_provisions"), total("amount").alias("total_amount"),
+        F.count("amount").alias("known"), *_frequency_counts(),
+        *_label_measures("frequency", _frequencies()),
+        *_label_measures("bucket", _confidences()),
+    ])
+
+
+def summaries_of_cells(cells: DataFrame) -> dict[str, DataFrame]:
+    """The summaries above by name, and the rows that each leaves out for want of its key."""
+    names = [f.lower() for f in V.FREQUENCY_MONTHS]
+    every = ce.overall(cells, [c for c in cells.columns if c not in ("category", "vendor")])
+    by_category = ce.section(
+        cells, "category", ["total_provisions", "total_amount", "known", *names],
+        "expense_category")
+    named = cells.filter(F.col("vendor").isNotNull())
+    return {
+        "expense_category_summary": by_category.select(
+            "expense_category", "total_provisions", "total_amount",
+            F.try_divide(F.col("total_amount").cast("double"), F.col("known").cast("double"))
+            .alias("average_amount"), *names),
+        "vendor_summary": named.groupBy(F.col("vendor").alias("vendor_name")).agg(
+            F.sum("total_provisions").alias("total_provisions"),
+            F.sum("total_amount").alias("total_amount"),
+            F.count("category").alias("category_count"), *[F.sum(n).alias(n) for n in names]),
+        "vendor_categories": named.select(
+            F.col("vendor").alias("vendor_name"), F.col("category").alias("expense_category"),
+            F.col("total_provisions").alias("provisions"), F.col("total_amount").alias("amount"),
+            *names),
+        "frequency_summary": _laid_out(every, "frequency", names),
+        "confidence_analysis": _laid_out(every, "bucket", list(_confidences())),
+        "excluded_rows": ce.left_out(
+            cells, ["category", "vendor"], "total_provisions", "total_amount"),
+    }
+
+
+def provision_excluded_rows(p: DataFrame) -> DataFrame:
+    """section, row_count, amount: provisions without a category, and without a vendor."""
+    return summaries_of_cells(provision_cells(p))["excluded_rows"]
 
 
 def provision_upcoming(p: DataFrame, as_of: date, days: int = V.UPCOMING_DAYS) -> DataFrame:

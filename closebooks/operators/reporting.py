@@ -13,7 +13,6 @@ from closebooks import fixed_values as V
 from closebooks.functions.exprs import exceeds, percent_change, quarter_text, total
 from closebooks.operators import consolidation as con
 from closebooks.operators.gst import gst_return_counts
-from closebooks.operators.interco import interco_counts
 from closebooks.operators.issues import null_fields
 from closebooks.operators.journals import journal_status
 from closebooks.operators.provisions import provision_overdue, provision_spikes
@@ -148,16 +147,9 @@ def close_checks(
 ) -> DataFrame:
     """check, n, message for every check of the close, zero counts included.
 
-    All checks of a source are figures of one aggregate, so each source is scanned
-    once (the intercompany table once more for the eliminations).
+    All checks of a source are figures of one aggregate, so each source is scanned once;
+    the intercompany table and the trial balance, which are compared, share theirs.
     """
-    ctb = con.consolidated_tb(tb, interco)
-    structure = ctb.agg(
-        total(F.when(con.in_balance_sheet(), F.col("net_amount"))).alias("difference"),
-        F.count_if(
-            ~(con.in_balance_sheet() | con.in_profit_loss() | con.in_cash_flow())
-        ).alias("unclassified"),
-    )
     difference = F.col("difference")
     count = F.count(F.lit(1)).alias("n")
     frames = [
@@ -167,17 +159,15 @@ def close_checks(
             "journal_duplicates": F.col("duplicates"),
         }),
         _warning(
-            structure,
+            con.ledger_counts(tb, interco),
             {
                 "balance_sheet": exceeds(difference, V.MONEY_TOLERANCE).cast("int"),
                 "unclassified_accounts": F.col("unclassified"),
+                "interco_mismatches": F.col("mismatches"),
+                "interco_missing_counterparties": F.col("missing_counterparties"),
             },
             balance_sheet=difference.cast("decimal(38,2)"),
         ),
-        _warning(interco_counts(interco), {
-            "interco_mismatches": F.col("mismatches"),
-            "interco_missing_counterparties": F.col("missing_counterparties"),
-        }),
         _warning(gst_return_counts(gst_return), {
             "gst_mismatches": F.col("mismatches"),
             "gst_missing_invoices": F.col("missing_invoices"),

@@ -16,6 +16,7 @@ from closebooks import fixed_values as V
 from closebooks.functions.exprs import (
     choose, count_rows, exceeds, fails_pattern, is_blank, month_text, summed_levels, total,
 )
+from closebooks.operators import cells as ce
 from closebooks.operators.issues import Check, issue_rows
 
 
@@ -60,12 +61,38 @@ def tds_summary_levels(tds: DataFrame) -> DataFrame:
 
     Summed per vendor, section and month first, then by grouping sets over the sums.
     """
-    keys = ["vendor", "section", "month"]
-    cells = tds.groupBy(
-        F.col("vendor_name").alias("vendor"), F.col("section_code").alias("section"),
-        month_text("transaction_date").alias("month"),
-    ).agg(*_challan_measures())
-    return summed_levels(cells, keys, [c for c in cells.columns if c not in keys])
+    return levels_of_cells(tds_cells(tds))
+
+
+_CELL_KEYS = ["vendor", "section", "month"]
+
+
+def tds_cells(tds: DataFrame) -> DataFrame:
+    """Sums per vendor, section and month, from which every summary follows."""
+    values = (F.col("vendor_name"), F.col("section_code"), month_text("transaction_date"))
+    return ce.cells_of(tds, dict(zip(_CELL_KEYS, values)), _challan_measures())
+
+
+def levels_of_cells(cells: DataFrame) -> DataFrame:
+    return summed_levels(cells, _CELL_KEYS, [c for c in cells.columns if c not in _CELL_KEYS])
+
+
+def summaries_of_cells(cells: DataFrame) -> dict[str, DataFrame]:
+    """The summaries above by name, and the rows that each leaves out for want of its key."""
+    measures = [c for c in cells.columns if c not in _CELL_KEYS]
+    return {
+        "summaries": levels_of_cells(cells),
+        "vendor_summary": ce.section(cells, "vendor", measures, "vendor_name"),
+        "section_summary": ce.section(cells, "section", measures, "section_code"),
+        "status_summary": ce.overall(cells, [s.lower() for s in V.TDS_STATUSES]),
+        "monthly_summary": ce.section(cells, "month", measures),
+        "excluded_rows": ce.left_out(cells, _CELL_KEYS, "total_challans", "total_payment"),
+    }
+
+
+def tds_excluded_rows(tds: DataFrame) -> DataFrame:
+    """section, row_count, amount: challans without a vendor, a section, and a date."""
+    return summaries_of_cells(tds_cells(tds))["excluded_rows"]
 
 
 def tds_thresholds(

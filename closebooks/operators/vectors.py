@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
 
+MOST_QUESTIONS = 4096  # of one call: they are sent to every task
+
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
     """Squared Euclidean distance; null unless the vector is as long as the query.
@@ -43,3 +46,36 @@ def vector_top_k(
     return ranked.select(F.posexplode("b")).select(
         F.col("col.id").alias(key), (F.col("pos") + 1).alias("rank")
     )
+
+
+def vector_top_k_of(
+    df: DataFrame, questions: DataFrame, k: int = V.RETRIEVAL_K, key: str = "vec_id",
+    vector: str = "embedding", question: str = "question_id", point: str = "embedding",
+) -> DataFrame:
+    """question, key, rank: the k nearest rows to each vector of a table of questions.
+
+    One pass over the rows answers all questions, which are sent to the tasks as one value;
+    more than MOST_QUESTIONS are an error (ask again with the next ones). Distances, what
+    has none, and ties are those of `vector_top_k`. Every task keeps its own k best of a
+    question before anything is shuffled. A null question, or one without rows of its
+    length, has no answer.
+    """
+    asked = questions.filter(F.col(question).isNotNull() & F.col(point).isNotNull()).select(
+        F.struct(F.col(question).alias("q"), F.col(point).cast("array<double>").alias("p"))
+        .alias("x"))
+    guard = F.assert_true(
+        F.size("x") <= MOST_QUESTIONS, F.lit(f"more than {MOST_QUESTIONS} questions"))
+    all_asked = asked.agg(F.collect_list("x").alias("x")).select(
+        F.when(guard.isNull(), F.col("x"))).scalar()
+    pairs = df.select(F.col(key).alias("_key"), F.col(vector).alias("_v"),
+                      F.explode(all_asked).alias("_x"))
+    gaps = F.zip_with("_v", "_x.p", lambda a, b: a.cast("double") - b)
+    distance = F.when(F.size("_v") == F.size("_x.p"), F.aggregate(
+        gaps, F.lit(0.0), lambda total, gap: total + gap * gap))
+    near = W.partitionBy("_q").orderBy("_d2", "_key")
+    return (
+        pairs.select(F.col("_x.q").alias("_q"), "_key", distance.alias("_d2"))
+        .filter(F.col("_d2").isNotNull() & ~F.isnan("_d2"))
+        .withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+        .select(F.col("_q").alias(question), F.col("_key").alias(key), "rank")
+    )

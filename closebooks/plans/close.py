@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from closebooks import fixed_values as V
@@ -26,47 +26,41 @@ Sections = dict[str, DataFrame]
 
 # -- reports over one uploaded table ----------------------------------------------
 
+# The summaries of a report are sums over `cells`, the table summed once by the report's keys.
+# The cells are cached when the first section is read; `cells.unpersist()` gives them back.
+# `excluded_rows` says what each summary leaves out, because its key is missing.
+
 def consolidation_report(c: DataFrame) -> Sections:
+    cells = consolidation.position_cells(c).persist()
     return {
-        "entity_summary": consolidation.entity_summary(c),
+        "cells": cells, **consolidation.summaries_of_cells(cells),
         "intercompany_transactions": consolidation.interco_transactions(c),
-        "account_summary": consolidation.account_summary(c),
         "elimination_entries": consolidation.elimination_entries(c),
-        "consolidation_issues": consolidation.unbalanced_entities(c),
     }
 
 
 def gst_report(g: DataFrame) -> Sections:
-    """`summaries` has all four levels from one scan; the others are its parts."""
+    """`summaries` has all four levels in one frame; the other summaries are its parts."""
+    cells = gst.gst_cells(g).persist()
     return {
-        "summaries": gst.gst_summary_levels(g),
-        "vendor_summary": gst.gst_vendor_summary(g),
-        "itc_summary": gst.gst_itc_summary(g),
-        "tax_summary": gst.gst_tax_summary(g),
-        "monthly_summary": gst.gst_monthly_summary(g),
+        "cells": cells, **gst.summaries_of_cells(cells),
         "validation_issues": gst.gst_issues(g),
     }
 
 
 def tds_report(t: DataFrame) -> Sections:
+    cells = tds.tds_cells(t).persist()
     return {
-        "summaries": tds.tds_summary_levels(t),
-        "vendor_summary": tds.tds_vendor_summary(t),
-        "section_summary": tds.tds_section_summary(t),
-        "status_summary": tds.tds_status_summary(t),
-        "monthly_summary": tds.tds_monthly_summary(t),
+        "cells": cells, **tds.summaries_of_cells(cells),
         "threshold_analysis": tds.tds_thresholds(t),
         "validation_issues": tds.tds_issues(t),
     }
 
 
 def provision_report(p: DataFrame, as_of: date) -> Sections:
+    cells = provisions.provision_cells(p).persist()
     return {
-        "expense_category_summary": provisions.provision_category_summary(p),
-        "vendor_summary": provisions.provision_vendor_summary(p),
-        "vendor_categories": provisions.provision_vendor_categories(p),
-        "frequency_summary": provisions.provision_frequency_summary(p),
-        "confidence_analysis": provisions.provision_confidence(p),
+        "cells": cells, **provisions.summaries_of_cells(cells),
         "upcoming_provisions": provisions.provision_upcoming(p, as_of),
         "validation_issues": provisions.provision_issues(p),
     }
@@ -309,3 +303,24 @@ def audit_data_summary(sources: Mapping[str, DataFrame]) -> Sections:
     """Counts per source and each source in audit order, by table name."""
     listings = {name: audit.audit_sorted(df, name) for name, df in sources.items()}
     return {"counts": audit.source_counts(sources), **listings}
+
+
+def store_audit_data(sources: Mapping[str, DataFrame], folder: str) -> Sections:
+    """The listings of `audit_data_summary`, written below a folder and read back.
+
+    The counts are observed on the rows as they are written, so each source is read once.
+    They are taken after the sort, where a row that is computed again is not counted twice.
+    """
+    if not sources:
+        raise ValueError("no tables given")
+    counts, stored = [], {}
+    for name, df in sources.items():
+        seen = Observation()
+        rows = audit.audit_sorted(df, name).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts.append((name, seen.get["n"], seen.get["n"] > 0))
+        stored[name] = audit.audit_sorted(
+            df.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}"), name)
+    frame = next(iter(sources.values())).sparkSession.createDataFrame(
+        counts, "source string, n bigint, has_data boolean")
+    return {"counts": frame, **stored}

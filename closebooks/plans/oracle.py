@@ -796,7 +796,31 @@ select concat(' ', o_orderkey) order_id,
   case when o_orderkey % 7 = 0 then 'abc' when o_orderkey % 5 = 0 then ' '
     else cast(cast(o_totalprice as decimal(15,2)) as varchar) end total_price
 from orders"""
+
+
+def _left_out(table: str, amount: str, sections: dict[str, str]) -> str:
+    """What the sections leave out, by the condition under which their key is missing."""
+    return " union all ".join(f"""
+select '{name}' section, count(*) filter (where {gone}) row_count,
+  coalesce(cast(sum({amount}) filter (where {gone}) as double), 0) amount from {table}"""
+                              for name, gone in sections.items())
+
+
 BODIES |= {
+    "vector_top_k_questions": """
+select question_id, vec_id, cast(r as integer) "rank" from (
+  select q.vec_id question_id, e.vec_id, row_number() over (partition by q.vec_id order by
+    list_sum(list_transform(list_zip(e.embedding, q.embedding),
+      lambda p: (cast(p[1] as double) - p[2]) * (cast(p[1] as double) - p[2]))), e.vec_id) r
+  from embeddings e join embeddings q on q.vec_id % 50 = 7) t where r <= 4""",
+    "gst_excluded_rows": _left_out("gst_validation", "total_amount", {
+        "vendor": "itc_eligible = 'N'", "month": "igst_amount > 0"}),
+    "tds_excluded_rows": _left_out("tds_validation", "payment_amount", {
+        "vendor": "status = 'REJECTED'", "section": "section_code = '194Q'", "month": "false"}),
+    "provision_excluded_rows": _left_out("provision_planning", "amount", {
+        "category": "frequency = 'Weekly'", "vendor": "amount < 0"}),
+    "position_excluded_rows": _left_out("consolidation", "debit_amount + credit_amount", {
+        "entity": "interco_flag = 'Y'", "account": "debit_amount > 50000"}),
     "headers_normalized": _ORDER_TEXT,
     "journal_headers": f"""
 select order_id "Journal ID", order_date "Type", total_price "Amount" from ({_ORDER_TEXT})""",

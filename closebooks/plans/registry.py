@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from closebooks.operators import consolidation as con
 from closebooks.operators import journals as jn
 from closebooks.operators.feedback import feedback_gate, feedback_sections
 from closebooks.operators.rows import row_documents, sample_rows, to_records
-from closebooks.operators.vectors import vector_top_k
+from closebooks.operators.vectors import vector_top_k_of
 from closebooks.sources import csv_files, tables
 from closebooks.sources.sample_views import SampleViews
 
@@ -83,9 +83,14 @@ def _stored_with_key(v: SampleViews, table: str) -> DataFrame:
     return frames[table]()
 
 
-def _first_vector(v: SampleViews) -> list[float]:
-    """The question vector: one row, by key."""
-    return v.embeddings.filter(F.col("vec_id") == 0).select("embedding").head()[0]
+def _questions(v: SampleViews, which: Column) -> DataFrame:
+    """Question vectors: rows of the table itself, by key."""
+    return v.embeddings.filter(which).select(F.col("vec_id").alias("question_id"), "embedding")
+
+
+def _without(df: DataFrame, **gone: Column) -> DataFrame:
+    """The frame with cells emptied where a condition holds: keys missing on purpose."""
+    return df.withColumns({c: F.when(~on, F.col(c)) for c, on in gone.items()})
 
 
 def _close(v: SampleViews, build: Callable[..., DataFrame]) -> DataFrame:
@@ -227,7 +232,23 @@ VIEW_QUERIES: dict[str, View] = {
     "feedback_gate_orders": lambda v: feedback_gate(
         v.feedback, V.GATE_PHRASES["journal"]).select("id", "passed"),
     "feedback_sections": lambda v: feedback_sections(v.feedback),
-    "vector_top_k": lambda v: vector_top_k(v.embeddings, _first_vector(v)),
+    "vector_top_k": lambda v: vector_top_k_of(
+        v.embeddings, _questions(v, F.col("vec_id") == 0)).drop("question_id"),
+    "vector_top_k_questions": lambda v: vector_top_k_of(
+        v.embeddings, _questions(v, F.col("vec_id") % 50 == 7)),
+    # rows that report sections leave out
+    "gst_excluded_rows": lambda v: gst.gst_excluded_rows(_without(
+        v.gst_validation, vendor_name=F.col("itc_eligible") == "N",
+        invoice_date=F.col("igst_amount") > 0)),
+    "tds_excluded_rows": lambda v: tds.tds_excluded_rows(_without(
+        v.tds_validation, vendor_name=F.col("status") == "REJECTED",
+        section_code=F.col("section_code") == "194Q")),
+    "provision_excluded_rows": lambda v: provisions.provision_excluded_rows(_without(
+        v.provision_planning, expense_category=F.col("frequency") == "Weekly",
+        vendor_name=F.col("amount") < 0)),
+    "position_excluded_rows": lambda v: con.position_excluded_rows(_without(
+        v.consolidation, entity_code=F.col("interco_flag") == "Y",
+        account_name=F.col("debit_amount") > 50000)),
 }
 
 
