@@ -65,26 +65,38 @@ def first_per_key(
     )
 
 
-def numbered_copies(
-    df: DataFrame, columns: list[str], number: str, most: int = COPIES
-) -> DataFrame:
-    """Every row of `columns`, with the numbers 1, 2, ... among the rows equal to it.
+def counted_rows(df: DataFrame, columns: list[str], count: str) -> DataFrame:
+    """Different rows of `columns` with how often each occurs; combines on the map side."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(count))
 
-    Equal rows cannot be told apart, so they are not ranked but counted, which combines on
-    the map side, and written out again; a row with more than `most` copies by many tasks.
+
+def written_out(rows: DataFrame, count: str, number: str, most: int = COPIES) -> DataFrame:
+    """Every row as often as its `count` says, with the numbers 1, 2, ... in place of it.
+
+    A row with more than `most` copies is written out by many tasks.
     """
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    n, part = F.col("_copies"), F.col("_part")
-    few = counted.filter(n <= most).select(
+    columns = [c for c in rows.columns if c != count]
+    n, part = F.col(count), F.col("_part")
+    few = rows.filter(n <= most).select(
         *columns, F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias(number))
-    parts = counted.filter(n > most).select(
-        *columns, "_copies",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {most}")))
+    parts = rows.filter(n > most).select(
+        *columns, count,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(`{count}` - 1) div {most}")))
         .alias("_part"))
     # A number of tasks, as few rows that write out many would be put together by their size.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.repartition(tasks, F.xxhash64(*columns), part)
     many = dealt.select(
         *columns,
         F.explode(F.sequence(part * most + 1, F.least(n, (part + 1) * most))).alias(number))
     return few.unionByName(many)
+
+
+def numbered_copies(
+    df: DataFrame, columns: list[str], number: str, most: int = COPIES
+) -> DataFrame:
+    """Every row of `columns`, with the numbers 1, 2, ... among the rows equal to it.
+
+    Equal rows cannot be told apart, so they are not ranked but counted, and written out.
+    """
+    return written_out(counted_rows(df, columns, "_copies"), "_copies", number, most)
