@@ -2,11 +2,13 @@
 
 Measures of a document (shares of symbols, of repeated lines, of repeated words; length of
 words) are gathered into quantile sketches, one for each language and source: counts of
-values in bins of 1/32 relative width. Sketches merge by adding counts; a source with few
-documents takes the merged sketch of its language, or of all. A document is rejected when a
-measure lies beyond the quartiles by more than SPREADS times their distance (which counts
-as LEAST at least, so that a source of equal documents keeps its slight variations).
-Documents that fail the base rules stay out of the sketches.
+values in bins of 1/32 relative width. Sketches merge by adding counts. Every source is judged
+by its own sketch with PRIOR documents of its language's and PRIOR of the whole table's added
+in proportion, so that a small source follows its language and a large one itself, without a
+size at which that changes. A document is rejected when a measure lies beyond a high (or low)
+quantile by more than so many times that quantile's distance from the median (which counts as
+STEP at least, the width of a bin in mid-scale). Documents that fail the base rules stay out of
+the sketches.
 
 Built-in functions only. Defined cases: a null text has no words and fails the base rules;
 null languages and sources are groups of their own; repeated rows count each; an empty
@@ -24,10 +26,13 @@ from closebooks.llm.common import SPACE, WORD, stored
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-SPREADS = 3
-LEAST_ROWS = 100  # documents that a group's own sketch needs
-#: Measures, and the least distance of quartiles that a threshold assumes.
-LEAST = {"symbol_share": 20, "dup_line_share": 150, "repeat_share": 150, "word_length": 50}
+PRIOR = 100  # documents of the language, and of the whole table, that a sketch starts with
+STEP = 8
+#: Measures: low and high quantile in per cent, and the distances allowed beyond them.
+#: Clean texts repeat words and lines now and then, hence the far quantile with few distances;
+#: symbols and word lengths part junk from text, hence the near one with more.
+RULES = {"symbol_share": (None, 90, 5), "dup_line_share": (None, 99, 2),
+         "repeat_share": (None, 99, 2), "word_length": (10, 90, 5)}
 
 
 def _bind(value: Column, use) -> Column:
@@ -93,7 +98,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 def sketches(rows: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bin (its lower end)."""
     values = F.explode(F.array(*(
-        F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("v")) for m in LEAST)))
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("v")) for m in RULES)))
     cut = F.greatest(F.length(F.bin("x.v")) - 6, F.lit(0))
     low = F.expr("shiftleft(shiftright(x.v, cut), cut)")
     return (
@@ -104,55 +109,76 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, lower and upper threshold per measure from sketches merged down to `keys`."""
-    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    below = F.sum("n").over(group.orderBy("bin"))
-    quartile = merged.select(
-        *keys, "measure", "bin", below.alias("below"), F.sum("n").over(group).alias("rows"))
-    spread = F.greatest(
-        F.col("q3") - F.col("q1"),
-        reduce(lambda out, m: F.when(F.col("measure") == m, LEAST[m]).otherwise(out),
-               LEAST, F.lit(0)))
-    return (
-        quartile.groupBy(*keys, "measure").agg(
-            F.max("rows").alias("rows"),
-            F.min(F.when(4 * F.col("below") >= F.col("rows"), F.col("bin"))).alias("q1"),
-            F.min(F.when(4 * F.col("below") >= 3 * F.col("rows"), F.col("bin"))).alias("q3"))
-        .select(*keys, "measure", "rows", (F.col("q1") - SPREADS * spread).alias("lo"),
-                (F.col("q3") + SPREADS * spread).alias("hi"))
-    )
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    return reduce(Column.__and__, (a[c].eqNullSafe(b[f"r_{c}"]) for c in names))
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Column n of `counts` by keys that may be null; 0 where there is none."""
+    right = counts.select(*(F.col(c).alias(f"r_{c}") for c in keys), F.col(n).alias("r_n"))
+    joined = rows.join(right, _same(rows, right, keys), "left")
+    return joined.select(*rows.columns, F.coalesce("r_n", F.lit(0)).alias(n))
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, bin, weight): every source's sketch with its prior.
+
+    Weights are whole numbers: counts times the rows of the language times those of all.
+    A source has as many rows as the measure has bins, some hundreds at most.
+    """
+    bins = sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n_all"))
+    every = sketch.groupBy("measure").agg(F.sum("n").alias("rows_all"))
+    langs = sketch.groupBy("lang", "measure").agg(F.sum("n").alias("rows_lang"))
+    prior = _with_counts(
+        langs.join(bins, "measure").join(every, "measure"),
+        sketch.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n_lang")),
+        ["lang", "measure", "bin"], "n_lang")
+    groups = sketch.select("lang", "source", "measure").distinct()
+    right = prior.select(F.col("lang").alias("r_lang"), F.col("measure").alias("r_measure"),
+                         "bin", "n_all", "rows_all", "n_lang", "rows_lang")
+    rows = groups.join(right, _same(groups, right, ["lang", "measure"])).drop(
+        "r_lang", "r_measure")
+    rows = _with_counts(rows, sketch, ["lang", "source", "measure", "bin"], "n")
+    n, n_lang, n_all, of_lang, of_all = (F.col(c).cast("decimal(38,0)") for c in (
+        "n", "n_lang", "n_all", "rows_lang", "rows_all"))
+    weight = n * of_lang * of_all + PRIOR * (n_lang * of_all + n_all * of_lang)
+    return rows.select("lang", "source", "measure", "bin",
+                       weight.cast("decimal(38,0)").alias("weight"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row per language and source: thresholds of every measure."""
     sketch = stored(sketches(rows), "quality-sketch")
-    own = _fences(sketch, ["lang", "source"])
-    of_lang = _fences(sketch, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("rows").alias("l_rows"),
-        F.col("lo").alias("l_lo"), F.col("hi").alias("l_hi"))
-    of_all = _fences(sketch, []).select(
-        F.col("measure").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    both = own.join(
-        of_lang, own["lang"].eqNullSafe(of_lang["l"]) & (own["measure"] == of_lang["m"])
-    ).join(of_all, F.col("measure") == F.col("a"))
+    group = Window.partitionBy("lang", "source", "measure")
+    placed = blended(sketch).select(
+        "lang", "source", "measure", "bin", F.sum("weight").over(group.orderBy("bin")).alias("below"),
+        F.sum("weight").over(group).alias("total"))
+
+    def quantile(measure: str, percent: int) -> Column:
+        reached = F.lit(100) * F.col("below") >= F.lit(percent) * F.col("total")
+        return F.min(F.when((F.col("measure") == measure) & reached, F.col("bin")))
 
-    def pick(end: str) -> Column:
-        return F.when(F.col("rows") >= LEAST_ROWS, F.col(end)).when(
-            F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{end}")).otherwise(F.col(f"a_{end}"))
+    columns = []
+    for m, (low, high, times) in RULES.items():
+        middle, top = quantile(m, 50), quantile(m, high)
+        columns.append((top + times * F.greatest(top - middle, F.lit(STEP))).alias(f"{m}_hi"))
+        if low is not None:
+            end = quantile(m, low)
+            columns.append((end - times * F.greatest(middle - end, F.lit(STEP))).alias(f"{m}_lo"))
+    return placed.groupBy(
+        F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(*columns)
 
-    return both.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(*(
-        F.max(F.when(F.col("measure") == m, pick(end))).alias(f"{m}_{end}")
-        for m in LEAST for end in ("lo", "hi")))
+
+def _inside(measure: str) -> Column:
+    ok = F.col(measure) <= F.col(f"{measure}_hi")
+    return ok if RULES[measure][0] is None else ok & (F.col(measure) >= F.col(f"{measure}_lo"))
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The measured rows with the verdict `kept`."""
     rows = stored(measured(docs, carry), "quality-measures")
     limits = stored(thresholds(rows), "quality-thresholds")
-    inside = reduce(Column.__and__, (
-        F.col(m).between(F.col(f"{m}_lo"), F.col(f"{m}_hi")) for m in LEAST))
+    inside = reduce(Column.__and__, map(_inside, RULES))
     # A group of which every document failed has no thresholds, and none to keep.
     return rows.join(
         limits, rows["lang"].eqNullSafe(limits["of_lang"])
@@ -172,24 +198,26 @@ def passed(docs: DataFrame) -> DataFrame:
     return judged(docs, docs.columns).where("kept").select("row.*")
 
 
-_MEASURES_SQL = ", ".join(f"('{m}', {m})" for m in LEAST)
-_LEAST_SQL = "case measure " + " ".join(f"when '{m}' then {v}" for m, v in LEAST.items()) + " end"
+_MEASURES_SQL = ", ".join(f"('{m}', {m})" for m in RULES)
+
+
+def _quantile_sql(measure: str, percent: int) -> str:
+    return f"min(bin) filter (measure = '{measure}' and 100 * below >= {percent} * total)"
+
+
+def _limits_sql() -> str:
+    out = []
+    for m, (low, high, times) in RULES.items():
+        middle, top = _quantile_sql(m, 50), _quantile_sql(m, high)
+        out.append(f"{top} + {times} * greatest({top} - {middle}, {STEP}) as {m}_hi")
+        if low is not None:
+            end = _quantile_sql(m, low)
+            out.append(f"{end} - {times} * greatest({middle} - {end}, {STEP}) as {m}_lo")
+    return ",\n    ".join(out)
 
 
-def _fences_sql(keys: str) -> str:
-    by = f"{keys}, " if keys else ""
-    return f"""select {by}measure, max(total) as n_rows,
-  min(case when 4 * below >= total then bin end)
-    - {SPREADS} * greatest(min(case when 4 * below >= 3 * total then bin end)
-    - min(case when 4 * below >= total then bin end), {_LEAST_SQL}) as lo,
-  min(case when 4 * below >= 3 * total then bin end)
-    + {SPREADS} * greatest(min(case when 4 * below >= 3 * total then bin end)
-    - min(case when 4 * below >= total then bin end), {_LEAST_SQL}) as hi
-from (select {by}measure, bin,
-        sum(n) over (partition by {by}measure order by bin) as below,
-        sum(n) over (partition by {by}measure) as total
-      from (select {by}measure, bin, sum(n) as n from sketch group by {by}measure, bin))
-group by {by}measure"""
+def _inside_sql(m: str) -> str:
+    return f"{m} <= {m}_hi" + (f" and {m} >= {m}_lo" if RULES[m][0] is not None else "")
 
 
 VERDICTS_SQL = f"""
@@ -230,24 +258,31 @@ sketch as (
         from rows_, lateral (select * from (values {_MEASURES_SQL}) x(measure, v))
         where not base_failed)
   group by all),
-own as ({_fences_sql("lang, source")}),
-of_lang as ({_fences_sql("lang")}),
-of_all as ({_fences_sql("")}),
-limits as (
-  select o.lang, o.source, o.measure,
-    case when o.n_rows >= {LEAST_ROWS} then o.lo when l.n_rows >= {LEAST_ROWS} then l.lo
-      else a.lo end as lo,
-    case when o.n_rows >= {LEAST_ROWS} then o.hi when l.n_rows >= {LEAST_ROWS} then l.hi
-      else a.hi end as hi
-  from own o join of_lang l on o.lang is not distinct from l.lang and o.measure = l.measure
-    join of_all a on o.measure = a.measure),
+bins as (select measure, bin, sum(n)::hugeint as n_all from sketch group by all),
+every as (select measure, sum(n)::hugeint as rows_all from sketch group by all),
+langs as (select lang, measure, sum(n)::hugeint as rows_lang from sketch group by all),
+of_lang as (select lang, measure, bin, sum(n)::hugeint as n_lang from sketch group by all),
+groups_ as (select distinct lang, source, measure from sketch),
+blended as (
+  select g.lang, g.source, g.measure, b.bin,
+    coalesce(s.n, 0)::hugeint * l.rows_lang * e.rows_all
+      + {PRIOR} * (coalesce(o.n_lang, 0) * e.rows_all + b.n_all * l.rows_lang) as weight
+  from groups_ g
+    join langs l on g.lang is not distinct from l.lang and g.measure = l.measure
+    join bins b on g.measure = b.measure join every e on g.measure = e.measure
+    left join of_lang o on g.lang is not distinct from o.lang and g.measure = o.measure
+      and b.bin = o.bin
+    left join sketch s on g.lang is not distinct from s.lang
+      and g.source is not distinct from s.source and g.measure = s.measure and b.bin = s.bin),
+placed as (
+  select *, sum(weight) over (partition by lang, source, measure order by bin)::hugeint as below,
+    sum(weight) over (partition by lang, source, measure)::hugeint as total
+  from blended),
 wide as (
-  select lang, source, {", ".join(
-    f"max({e}) filter (measure = '{m}') as {m}_{e}" for m in LEAST for e in ("lo", "hi"))}
-  from limits group by lang, source)
+  select lang, source, {_limits_sql()}
+  from placed group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce({" and ".join(
-    f"{m} between {m}_lo and {m}_hi" for m in LEAST)}, false) as kept
+  not base_failed and coalesce({" and ".join(map(_inside_sql, RULES))}, false) as kept
 from rows_ r left join wide w
   on r.lang is not distinct from w.lang and r.source is not distinct from w.source
 """
