@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from closebooks.operators.skew import counted_rows, written_out
+
 #: Slots are counted in so many parts a shard, so that no task numbers a whole shard.
 SLOT_PARTS = 4096
 
@@ -83,21 +85,23 @@ def _chosen(key: Column, alive: list[Node], won: Column) -> Column:
 def slots(rows: DataFrame, group: str, part: str, order: list[str]) -> DataFrame:
     """Column `slot`: gapless numbers from 0 within each value of `group`.
 
-    Rows are numbered within (group, part), and the counts of the parts before are added.
-    The table of counts has one row per group and part: broadcast, as both are bounded.
+    Equal rows are counted first, and take a run of numbers together; rows that repeat without
+    end so are no task's work. Rows are numbered within (group, part), and the counts of the
+    parts before are added. The table of counts has one row per group and part: broadcast, as
+    both are bounded.
     """
-    counts = rows.groupBy(group, part).agg(F.count(F.lit(1)).alias("part_rows"))
-    before = Window.partitionBy(group).orderBy(part).rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = counts.select(
-        group, part, F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy(group, part).orderBy(*order))
-    return (
-        rows.withColumn("nth", within - 1)
-        .join(F.broadcast(starts), [group, part])
-        .withColumn("slot", (F.col("start") + F.col("nth")).cast("long"))
-        .drop("start", "nth")
-    )
+    counted = counted_rows(rows, rows.columns, "copies")
+    counts = counted.groupBy(group, part).agg(F.sum("copies").alias("part_rows"))
+    ahead = Window.unboundedPreceding, -1
+    before = F.sum("part_rows").over(Window.partitionBy(group).orderBy(part).rowsBetween(*ahead))
+    starts = counts.select(group, part, F.coalesce(before, F.lit(0)).alias("start"))
+    within = F.sum("copies").over(Window.partitionBy(group, part).orderBy(*order)
+                                  .rowsBetween(*ahead))
+    placed = counted.withColumn("nth", F.coalesce(within, F.lit(0))).join(
+        F.broadcast(starts), [group, part])
+    return written_out(placed, "copies", "copy").withColumn(
+        "slot", (F.col("start") + F.col("nth") + F.col("copy") - 1).cast("long")
+    ).drop("start", "nth", "copy")
 
 
 def sharded(docs: DataFrame, root: Node, bigger: Node) -> DataFrame:
