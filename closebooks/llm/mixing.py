@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closebooks.llm.common import stored, word_count
+from closebooks.operators.skew import numbered_copies
 
 MOST = 3  # no document is taken more often
 BLOCK = 1000  # documents of a source that one group decides on, on average
@@ -127,15 +128,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")),
                    "mix-sizes")
     goal = stored(targets(sizes), "mix-targets")
+    # Rows alike are told apart by a number, so that they fall into different blocks.
+    sizes = numbered_copies(sizes, ["doc_id", "source", "size"], "nth")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sizes.join(goal, sizes["source"].eqNullSafe(goal["source"]))
         .drop(goal["source"])
         .withColumn("base", F.floor(share).cast("int"))
         .withColumn("chance", share - F.floor(share))
-        .withColumn("rank", F.xxhash64("doc_id", "size", F.lit("mix")))
+        .withColumn("rank", F.xxhash64("doc_id", "size", "nth", F.lit("mix")))
         .withColumn("block", F.pmod(
-            F.xxhash64("doc_id", "size", F.lit("block")),
+            F.xxhash64("doc_id", "size", "nth", F.lit("block")),
             F.ceil(F.col("source_rows") / BLOCK)).cast("long"))
     )
     keep = ["doc_id", "source", "size", "source_size", "target", "base", "chance", "rank",
@@ -179,12 +182,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.struct(*docs.columns).alias("row"), "doc_id", "source",
         word_count(F.col("text")).alias("size"))
     nth = F.row_number().over(Window.partitionBy(*id_keys).orderBy("row.text"))
+    wordless, rows = rows.where("size = 0").select("row.*"), rows.where("size > 0")
     same = [rows[c].eqNullSafe(plan[f"of_{c}"]) for c in id_keys]
     # Rows alike in id, source and size differ by one copy at most: the first ones get more.
     more = F.col("nth") <= F.col("sum") - F.col("n") * F.col("least")
-    times = F.when(F.col("size") == 0, 1).otherwise(F.col("least") + more.cast("int"))
+    times = F.col("least") + more.cast("int")
     return (
         rows.withColumn("nth", nth).join(plan, same[0] & same[1] & same[2])
         .select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-        .select("row.*")
+        .select("row.*").unionByName(wordless)
     )
