@@ -198,10 +198,18 @@ def _search_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            found = [shingles(x.as_buffer().to_pybytes(), k) for x in batch.column(2)]
-            # Where another row repeats the id with another text, that text is not the node's.
-            own = [i for i, x in enumerate(found) if name(x) == batch.column(0)[i].as_py()]
+            found, own = [], []
+            for i, (node, text) in enumerate(zip(
+                    batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                # Rows of one id are neighbours: of rows that repeat it, one stands for the node.
+                x = shingles(text.as_buffer().to_pybytes(), k) if node != last else None
+                found.append(x)
+                # Where another row repeats the id with another text, that is not the node's.
+                if x is not None and name(x) == node:
+                    own.append(i)
+                    last = node
             batch, found = batch.take(pa.array(own, pa.int64())), [found[i] for i in own]
             light = [(minima(x) & np.uint32(255)).astype(np.uint8).tobytes() for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -383,5 +391,8 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
         F.col("doc_id").cast("long").alias("of"), _mark(), F.struct(*docs.columns).alias("row"))
     found = rows.join(kept.hint("merge"), (F.col("of") == F.col("id"))
                       & (F.col("mark") == F.col("kept_mark")))
-    one = found.groupBy("id", "mark").agg(F.min("row").alias("row"))
+    # Maps have no order; their text has.
+    least = F.min_by("row", F.to_json("row")) if "map<" in docs.schema.simpleString() else F.min(
+        "row")
+    one = found.groupBy("id", "mark").agg(least.alias("row"))
     return one.select("row.*").unionByName(docs.where("doc_id is null"))
