@@ -77,6 +77,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.good = ["#"], [-1], [0]
+        self.classes: list[str] = [""]
         self.drop, self.named = [False], [False]  # hidden; not article text by tag or name
         self.called = [""]  # by a name of DROP_NAMES: "name", or "sure" for adverts and comments
         self.head, self.mute = [False], [False]  # a head of its parent; silent inside a line
@@ -155,6 +156,7 @@ class Page:
         inline = tag in INLINE
         whole = tag in ("html", "body") or tag in KEEPERS
         self.tag.append(tag)
+        self.classes.append(attributes.get("class") or "")
         self.parent.append(up)
         self.drop.append(hidden)
         self.head.append(tag == "header" or tag in HEAD_TAGS and "header" in names)
@@ -271,7 +273,7 @@ class Page:
         inside = best
         while inside > 0 and self.tag[inside] not in KEEPERS:
             inside = self.parent[inside]
-        if inside > 0:
+        if inside > 0 and density(inside) < LINKED:
             best = inside  # all of the article that holds the best part
         keep = [False] * n
         keep[best] = True
@@ -286,8 +288,11 @@ class Page:
             elif self.tag[i] in HEADINGS:
                 keep[i] = i < best and density(i) < 0.25
             else:
-                keep[i] = text_in[i] and points[i] >= 5 and score(i) >= max(10.0, top / 5) \
-                    and density(i) < 0.25
+                # The same kind of container as the best one goes on with its text, however
+                # short; another kind has to earn its place.
+                alike = self.tag[i] == self.tag[best] and self.classes[i] == self.classes[best]
+                earned = points[i] >= 5 and score(i) >= max(10.0, top / 5)
+                keep[i] = text_in[i] and density(i) < 0.25 and (alike or earned)
         for i in range(1, n):
             keep[i] |= keep[self.parent[i]]
         return [text for at, text, _ in blocks if keep[at]]
