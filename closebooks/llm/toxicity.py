@@ -55,6 +55,18 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in out if s]
 
 
+def placed_sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Start and end in the text, and words, of each sentence that has words."""
+    start = 0
+    for end in [m.start() for m in re.finditer(r"[.!?\n]", text)] + [len(text)]:
+        part = text[start:end]
+        words = sentences(part)
+        if words:
+            lead = len(part) - len(part.lstrip())
+            yield start + lead, start + len(part.rstrip()), words[0]
+        start = end + 1
+
+
 def features(word: str) -> list[str]:
     """The word, and its beginnings marked with a star."""
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
@@ -184,23 +196,27 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The sentences that score `least` or more: doc_id, place in the document, words, score."""
+    """The sentences that score `least` or more: doc_id, start, end, words, score.
+
+    start and end are places in the text, in code points: text[start:end] is the sentence.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for i, s in enumerate(sentences(text.as_py() or "")):
+                for start, end, s in placed_sentences(text.as_py() or ""):
                     logit = model.logit(s)
                     score = 0.0 if logit is None else float(1 / (1 + np.exp(-logit)))
                     if score >= least:
-                        found.append((doc_id, i, " ".join(s), score))
+                        found.append((doc_id, start, end, " ".join(s), score))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.int64()),
                  pa.array([x[1] for x in found], pa.int64()),
-                 pa.array([x[2] for x in found], pa.string()),
-                 pa.array([x[3] for x in found], pa.float64())],
-                names=["doc_id", "sentence", "words", "score"])
+                 pa.array([x[2] for x in found], pa.int64()),
+                 pa.array([x[3] for x in found], pa.string()),
+                 pa.array([x[4] for x in found], pa.float64())],
+                names=["doc_id", "start", "end", "words", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, sentence long, words string, score double")
+        run, "doc_id long, start long, end long, words string, score double")
