@@ -846,6 +846,142 @@ from (select cast(l_suppkey as varchar) journal_id, l_returnflag description,
   from lineitem)""",
 }
 
+_TABLE_COLUMNS = {
+    table: ", ".join(
+        f"rid {f.name}" if f.name == "id" else
+        f"cast({f.name} as double) {f.name}" if "decimal" in f.dataType.simpleString() else
+        f"cast({f.name} as varchar) {f.name}" for f in TABLE_SCHEMAS[table].fields)
+    for table in ("gst_validation", "tds_validation")}
+_JOURNAL_CELLS = """
+concat('J', split_part(rid, '-', 1)) journal_id, cast(transaction_date as varchar) transaction_date,
+  account_code, account_name, cast(debit_amount as double) debit_amount,
+  cast(credit_amount as double) credit_amount, entity_code entity,
+  concat('Posting ', rid) description"""
+_CLEAN_JOURNALS = """(select * from journals where journal_id is not null and entry_date is not null
+  and account is not null and type is not null and amount is not null and entity is not null)"""
+_STORED_AUDIT = {
+    "journal_entries": "consolidation", "interco_reconciliation": "interco",
+    "gst_validation": "gst_validation", "tds_validation": "tds_validation",
+    "provision_planning": "provision_planning", "consolidation": "consolidation",
+    "audit_log": "audit_log"}
+
+
+def _section_counts(sections: dict[str, str]) -> str:
+    """Number of rows by section; a section is a query's name, or a statement."""
+    return " union all ".join(
+        f"select '{name}' section, count(*) row_count from ({BODIES.get(body, body)}) t"
+        for name, body in sections.items())
+
+
+def _rows_of(table: str) -> str:
+    return f"select 1 from {table}"
+
+
+_SECTIONS = {
+    "upload_consolidation": {
+        "data": _rows_of("consolidation"), "entity_summary": "entity_summary",
+        "account_summary": "account_summary", "consolidation_issues": "unbalanced_entities",
+        "excluded_rows": "position_excluded_rows",
+        "intercompany_transactions": "interco_transactions",
+        "elimination_entries": "elimination_entries"},
+    "upload_gst": {
+        "data": _rows_of("gst_validation"), "summaries": "gst_summary_levels",
+        "vendor_summary": "gst_vendor_summary", "itc_summary": "gst_itc_summary",
+        "tax_summary": "gst_tax_summary", "monthly_summary": "gst_monthly_summary",
+        "excluded_rows": "gst_excluded_rows", "validation_issues": "gst_issues"},
+    "upload_tds": {
+        "data": _rows_of("tds_validation"), "summaries": "tds_summary_levels",
+        "vendor_summary": "tds_vendor_summary", "section_summary": "tds_section_summary",
+        "status_summary": "tds_status_summary", "monthly_summary": "tds_monthly_summary",
+        "excluded_rows": "tds_excluded_rows", "threshold_analysis": "tds_thresholds",
+        "validation_issues": "tds_issues"},
+    "upload_provisions": {
+        "data": _rows_of("provision_planning"),
+        "expense_category_summary": "provision_category_summary",
+        "vendor_summary": "provision_vendor_summary",
+        "vendor_categories": "provision_vendor_categories",
+        "frequency_summary": "provision_frequency_summary",
+        "confidence_analysis": "provision_confidence",
+        "excluded_rows": "provision_excluded_rows",
+        "upcoming_provisions": "provision_upcoming", "validation_issues": "provision_issues"},
+    "upload_journals": {
+        "data": _rows_of("consolidation"),
+        "existing_keys": "select distinct split_part(rid, '-', 1) from consolidation"},
+    "upload_interco": {
+        "data": _rows_of("interco"), "reconciliation_report": "select unnest([1, 2])",
+        "existing_keys": "select distinct rid from interco"},
+    "job_validate_journals": {
+        "status": "journal_status", "validated_data": "journal_dropna",
+        "missing_fields": "journal_missing_fields",
+        "unbalanced_journals": f"""
+select journal_id from {_CLEAN_JOURNALS} c group by 1
+having sum(case type when 'Debit' then amount when 'Credit' then -amount else 0 end) <> 0""",
+        "duplicate_ids": f"select journal_id from {_CLEAN_JOURNALS} c group by 1 having count(*) > 1",
+        "documents": _rows_of(f"{_CLEAN_JOURNALS} c")},
+    "job_reconcile_interco": {
+        "mismatches": "interco_mismatches", "mismatch_journals": "interco_mismatch_journals",
+        "missing_counterparties": "interco_missing_counterparty",
+        "missing_counterparts": "interco_missing_counterpart",
+        "amount_mismatches": "interco_amount_mismatch"},
+    "job_validate_gst": {
+        "mismatches": "gst_return_mismatches", "missing_invoices": "gst_missing_invoices",
+        "excess_itc": "gst_excess_itc", "register_vs_return": "gst_register_vs_return"},
+    "job_validate_tds": {
+        "deduction_mismatches": "tds_group_check", "missing_challans": "tds_missing_challan",
+        "missing_identifiers": "tds_missing_identifiers", "traces_match": "traces_match"},
+    "job_analyze_provisions": {
+        "missing_provisions": "provision_overdue", "amount_spikes": "provision_spikes",
+        "repeating_expenses": "repeating_expenses"},
+    "job_consolidate": {
+        "consolidated_trial_balance": "consolidated_tb", "eliminations": "tb_eliminations",
+        "elimination_totals": "elimination_totals", "balance_sheet": "balance_sheet",
+        "profit_loss": "profit_loss", "cash_flow": "cash_flow", "balance": "bs_balance",
+        "unclassified_accounts": "unclassified_accounts",
+        "unlinked_entities": "unlinked_entities"},
+    "job_audit_trail": {
+        "logs": _rows_of(f"{_CLEAN_JOURNALS} c where entity = 'ENT015'"),
+        "timeline": _rows_of(f"{_CLEAN_JOURNALS} c where entity = 'ENT015'"),
+        "flags": "select 1", "missing_records": f"""
+select distinct journal_id from {_CLEAN_JOURNALS} c
+where journal_id not in (select journal_id from audit_log)"""},
+    "job_financial_summary": {
+        "counts": "select unnest([1, 2, 3])", "total": "select 1", "missing_sources": "select 1"},
+    "job_audit_summary": {
+        "counts": "select unnest(range(7))",
+        **{name: _rows_of(view) for name, view in _STORED_AUDIT.items()}},
+}
+_CLOSE_AREAS = {
+    "journals": "job_validate_journals", "consolidation": "job_consolidate",
+    "intercompany": "job_reconcile_interco", "gst": "job_validate_gst",
+    "tds": "job_validate_tds", "provisions": "job_analyze_provisions"}
+_SECTIONS["job_close_report"] = {
+    **{f"{area}.{name}": body for area, job in _CLOSE_AREAS.items()
+       for name, body in _SECTIONS[job].items()
+       if name not in ("register_vs_return", "traces_match")},
+    "summary.statement_totals": "statement_totals", "summary.warnings": "close_warnings"}
+
+BODIES |= {
+    "csv_table_read": f"select {_TABLE_COLUMNS['gst_validation']} from gst_validation",
+    "csv_named_read": """
+select account, cast(debit as double) debit, cast(credit as double) credit, entity
+from trial_balance""",
+    "csv_journals_read": """
+select journal_id, cast(entry_date as varchar) entry_date, account, type,
+  cast(amount as double) amount, entity from journals""",
+    "table_append_read": f"select {_TABLE_COLUMNS['tds_validation']} from tds_validation",
+    "landing_rows": f"""
+select {_JOURNAL_CELLS}, cast(0 as bigint) ingest_batch from consolidation""",
+    "landing_outcomes": """
+select cast(b as integer) ingest_batch, case b when 0 then 'accepted' else 'refused' end status,
+  case b when 1 then 'keys already stored' end reason, count(*) row_count
+from consolidation, (select unnest([0, 1]) b) group by b""",
+    "upload_journal_rows": f"select {_JOURNAL_CELLS} from consolidation",
+    "job_store_audit": " union all ".join(
+        f"select '{name}' source, count(*) n, count(*) > 0 has_data from {view}"
+        for name, view in _STORED_AUDIT.items()),
+    **{name: _section_counts(sections) for name, sections in _SECTIONS.items()},
+}
+
 
 def _uses(sql: str, name: str) -> bool:
     return re.search(rf"\b(?:from|join)\s+{name}\b", sql) is not None

@@ -17,6 +17,7 @@ from closebooks.operators import journals as jn
 from closebooks.operators.feedback import feedback_gate, feedback_sections
 from closebooks.operators.rows import row_documents, sample_rows, to_records
 from closebooks.operators.vectors import vector_top_k_of
+from closebooks.plans.jobs_registry import JOB_QUERIES
 from closebooks.sources import csv_files, tables
 from closebooks.sources.sample_views import SampleViews
 
@@ -296,6 +297,7 @@ VIEW_QUERIES |= {
     "typed_rejects": _typed_rejects,
     "layouts_union": _layouts_union,
     "stored_layout": _stored_layout,
+    **JOB_QUERIES,
 }
 
 
