@@ -18,6 +18,8 @@ from closebooks.functions.exprs import choose, count_rows, month_text, total
 from closebooks.operators import cells as ce
 from closebooks.operators.issues import Check, issue_rows
 
+NO_DAY = 2**31 - 1  # place of rows without a period: after all others
+
 
 def _frequency_counts() -> list[Column]:
     return [
@@ -222,14 +224,16 @@ def provision_spikes(history: DataFrame, percent: float = V.SPIKE_PERCENT) -> Da
     group = ["expense_ledger", "vendor"]
     bucket = [*group, "day", "bucket"]
     amount = F.col("amount").cast("double")
-    ordered = F.md5(F.col("rid").cast("binary"))
+    digest = F.md5(F.col("rid").cast("binary"))
+    # Dealt by bucket once: the windows and the aggregate below both find their rows together.
     rows = history.filter(
         F.col("expense_ledger").isNotNull() & F.col("vendor").isNotNull()
     ).select(
-        *group, "period", F.when(~F.isnan(amount), amount).alias("amount"),
-        F.coalesce(F.unix_date("period"), F.lit(2**31 - 1)).alias("day"),
-        F.left(ordered, F.lit(2)).alias("bucket"), ordered.alias("ord"),
-    ).withColumn("place", F.struct("ord", F.col("amount").isNotNull(), "amount"))
+        *group, F.when(~F.isnan(amount), amount).alias("amount"),
+        F.coalesce(F.unix_date("period"), F.lit(NO_DAY)).alias("day"),
+        F.left(digest, F.lit(2)).alias("bucket"), F.unhex(digest).alias("ord"),
+    ).repartition(*bucket).withColumn(
+        "place", F.struct("ord", F.col("amount").isNotNull(), "amount"))
 
     ends = rows.groupBy(*bucket).agg(
         F.max_by("amount", F.when(F.col("amount").isNotNull(), F.col("place"))).alias("known"),
@@ -245,10 +249,10 @@ def provision_spikes(history: DataFrame, percent: float = V.SPIKE_PERCENT) -> Da
     )
     before = W.partitionBy(*bucket).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     stepped = rows.select(
-        *bucket, "period", "amount",
-        F.last("amount", ignorenulls=True).over(before).alias("known"))
+        *bucket, "amount", F.last("amount", ignorenulls=True).over(before).alias("known"))
+    period = F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day"))
     joined = stepped.join(carried, bucket).select(
-        *group, "period", "amount", "previous_amount",
+        *group, period.alias("period"), "amount", "previous_amount",
         F.coalesce("known", "known_before").alias("known"))
     amount, known = F.col("amount"), F.col("known")
     change = F.when(known != 0, (amount / known - 1) * 100)
