@@ -43,7 +43,7 @@ def run(spark, name):
 def test_registered():
     names = entry_point.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == [
-        *range(1, 11)]
+        *range(1, 14)]
     assert "pipeline" in names and set(entry_point.oracle_sql()) <= set(names)
 
 
