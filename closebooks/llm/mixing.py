@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from closebooks.llm.common import stored, word_count
+from closebooks.llm.common import WORD, stored, word_count
 from closebooks.operators.skew import numbered_copies
 
 MOST = 3  # no document is taken more often
@@ -177,12 +177,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     id_keys = ["doc_id", "source", "size"]
     plan = mixed(docs).groupBy(*(F.col(c).alias(f"of_{c}") for c in id_keys)).agg(
         F.min("copies").alias("least"), F.sum("copies").alias("sum"), F.count("copies").alias("n"))
+    # A text without words is known by its first word: words are counted in the others alone.
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     # The row is packed, so that no column of the caller's meets one of these names.
-    rows = docs.select(
+    rows = docs.where(worded).select(
         F.struct(*docs.columns).alias("row"), "doc_id", "source",
         word_count(F.col("text")).alias("size"))
     nth = F.row_number().over(Window.partitionBy(*id_keys).orderBy("row.text"))
-    wordless, rows = rows.where("size = 0").select("row.*"), rows.where("size > 0")
     same = [rows[c].eqNullSafe(plan[f"of_{c}"]) for c in id_keys]
     # Rows alike in id, source and size differ by one copy at most: the first ones get more.
     more = F.col("nth") <= F.col("sum") - F.col("n") * F.col("least")
@@ -190,5 +191,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return (
         rows.withColumn("nth", nth).join(plan, same[0] & same[1] & same[2])
         .select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-        .select("row.*").unionByName(wordless)
+        .select("row.*").unionByName(docs.where(~worded))
     )
