@@ -1,7 +1,7 @@
 """Exact top-k by inner product, by a uniform threshold in three phases.
 
 Rows are dealt over parts of a fixed size, by their place in the stored files. A part is held by a
-task and the queries stream past it, so nothing goes through the driver, and all queries are
+task and the queries stream past it; no query or cutoff is collected, and all queries are
 answered in one job a phase. A score is the sum of LISTS partial scores, each over a slice of
 the components.
 1. A query visits as many parts as the square root of their number. There it gathers the local
