@@ -16,7 +16,7 @@ from closebooks.operators import consolidation as con
 from closebooks.operators import journals as jn
 from closebooks.operators.feedback import feedback_gate, feedback_sections
 from closebooks.operators.rows import row_documents, sample_rows, to_records
-from closebooks.operators.vectors import vector_top_k_of
+from closebooks.operators.vectors import vector_top_k_of, vector_top_k_rounds
 from closebooks.plans.jobs_registry import JOB_QUERIES
 from closebooks.sources import csv_files, tables
 from closebooks.sources.sample_views import SampleViews
@@ -235,7 +235,7 @@ VIEW_QUERIES: dict[str, View] = {
     "feedback_sections": lambda v: feedback_sections(v.feedback),
     "vector_top_k": lambda v: vector_top_k_of(
         v.embeddings, _questions(v, F.col("vec_id") == 0)).drop("question_id"),
-    "vector_top_k_questions": lambda v: vector_top_k_of(
+    "vector_top_k_questions": lambda v: vector_top_k_rounds(
         v.embeddings, _questions(v, F.col("vec_id") % 50 == 7)),
     # rows that report sections leave out
     "gst_excluded_rows": lambda v: gst.gst_excluded_rows(_without(

@@ -181,3 +181,22 @@ def test_many_questions_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_QUESTIONS", 2)
     with pytest.raises(Exception, match="more than 2 questions"):
         vectors.vector_top_k_of(df, asked, k=3).collect()
+
+
+def test_questions_in_rounds_and_tiles_and_ties(spark, monkeypatch):
+    data = [(i if i % 17 else None, [float(i % 5), float(i * 7 % 11)]) for i in range(300)]
+    df = spark.createDataFrame(data, "vec_id int, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(
+        [(i, [i * 0.5, 1.0]) for i in range(40)], "question_id long, embedding array<double>")
+    want = []
+    for q in range(40):
+        near = sorted(((x - q * 0.5) ** 2 + (y - 1) ** 2, i is not None, i or 0)
+                      for i, (x, y) in data)[:4]
+        want += [(q, i if known else None, n + 1) for n, (_, known, i) in enumerate(near)]
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE_QUESTIONS", 3)
+    assert rows(vectors.vector_top_k_of(df, asked, 4)) == sorted(want, key=lambda r: tuple(map(str, r)))
+    # More questions than one call takes: no error, and no question is left out.
+    monkeypatch.setattr(vectors, "MOST_QUESTIONS", 20)
+    assert rows(vectors.vector_top_k_rounds(df, asked, 4)) == sorted(
+        want, key=lambda r: tuple(map(str, r)))
