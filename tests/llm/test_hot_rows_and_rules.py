@@ -269,3 +269,13 @@ def test_points_decide(monkeypatch):
 def test_very_long_page():
     page = "<html><body><article>" + f"<p>{LONG}</p>" * 20_000 + "</article></body></html>"
     assert html_text.extract(page).count("\n\n") == 19_999
+
+
+def test_stretches_of_a_pack_go_as_one_row():
+    packs, nth = np.array([5, 5, -2, 5]), np.array([0, 3, 1, 2])
+    lo, length = np.array([7, 0, 9, 2**31 - 99]), np.array([50, 60, 70, 80])
+    batch = suffix_dedup._spans_by_pack(packs, nth, lo, length)
+    assert batch.column(0).to_pylist() == [5, -2, 5]
+    bodies = batch.column(1).to_pylist()
+    assert suffix_dedup._spans(bodies[:2]).tolist() == [[0, 3, 1], [7, 0, 9], [50, 60, 70]]
+    assert suffix_dedup._spans(bodies[2:]).tolist() == [[2], [2**31 - 99], [80]]
