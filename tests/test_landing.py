@@ -5,6 +5,7 @@ from urllib.parse import unquote
 
 import pytest
 
+from closebooks.plans import jobs_registry
 from closebooks.streaming.landing import ingest_files, ingest_stream, stored_rows
 from tests.conftest import rows
 
@@ -105,3 +106,13 @@ def test_tables_without_a_key_take_everything(spark, tmp_path):
     paths = [(landing.folder / n).as_uri() for n in ("1.csv", "2.csv")]
     ingest_files(spark, paths, "consolidation", landing.store, landing.log, 0)
     assert stored_rows(spark, landing.store, "consolidation").count() == 2
+
+
+def test_sample_files_follow_the_rows(views, monkeypatch):
+    given = []
+    monkeypatch.setattr(
+        jobs_registry, "ingest_files", lambda spark, paths, *rest: given.append(paths))
+    monkeypatch.setattr(jobs_registry, "FILE_ROWS", 1000)
+    jobs_registry._landing(views)
+    lines = views.raw("lineitem").count()
+    assert len(given[0]) == -(-lines // 1000) > 4 and given[0] == given[1]
