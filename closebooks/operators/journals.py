@@ -113,15 +113,19 @@ def journal_new_rows(batch: DataFrame, stored: DataFrame, key: str = "journal_id
 
 def read_back(
     batch: DataFrame, stored: DataFrame, key: str = "journal_id",
-    order: tuple[str, ...] = ("journal_id", "entry_date"),
+    order: tuple[str, ...] = ("journal_id", "entry_date"), whole: DataFrame | None = None,
 ) -> DataFrame:
     """Stored rows with a key of the batch, in ascending order, nulls last.
 
-    The remaining columns close the sort order, so equal sort keys can be split.
+    The remaining columns close the sort order, so equal sort keys can be split. `whole` are
+    the rows of the batch as they are stored, if they are not among `stored`: they have
+    their own keys, so they are taken without a join.
     """
     rest = [c for c in stored.columns if c not in order]
-    found = lookup_join(stored, _keys(batch, key), [key], "left_semi")
-    return found.select(*stored.columns).orderBy(
+    found = lookup_join(stored, _keys(batch, key), [key], "left_semi").select(*stored.columns)
+    if whole is not None:
+        found = found.unionByName(whole.filter(F.col(key).isNotNull()))
+    return found.orderBy(
         *[F.col(c).asc_nulls_last() for c in [*order, *rest]]
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 _HASH = "_join_hash"
 COPIES = 100_000  # of one row that a task writes out
+REPEATED = 100_000  # digests of equal rows that are looked for one by one, at most
 
 
 def lookup_join(
@@ -100,3 +101,25 @@ def numbered_copies(
     Equal rows cannot be told apart, so they are not ranked but counted, and written out.
     """
     return written_out(counted_rows(df, columns, "_copies"), "_copies", number, most)
+
+
+def numbered_few_copies(
+    df: DataFrame, columns: list[str], number: str, few: int = REPEATED
+) -> DataFrame:
+    """`numbered_copies` for rows that seldom repeat: only those that do are shuffled.
+
+    A job looks for digests that occur twice, eight bytes a row. Rows of another digest are
+    the only ones of their kind. Above `few` repeated digests, all rows are counted.
+    """
+    digest = F.xxhash64(*columns)
+    repeated = counted_rows(df.select(digest.alias("_digest")), ["_digest"], "_rows").filter(
+        F.col("_rows") > 1).select("_digest")
+    found = repeated.limit(few + 1).count()
+    if found > few:
+        return numbered_copies(df, columns, number)
+    one = F.lit(1).cast("bigint").alias(number)
+    if not found:
+        return df.select(*columns, one)
+    rows, known = df.select(*columns, digest.alias("_digest")), F.broadcast(repeated)
+    return rows.join(known, "_digest", "left_anti").select(*columns, one).unionByName(
+        numbered_copies(rows.join(known, "_digest", "left_semi"), columns, number))

@@ -174,7 +174,8 @@ def ingest_files(
                 st.index_batch(accepted, store, table, batch_id)
             st.write_batch(with_row_ids(
                 accepted, TABLE_SCHEMAS[table].names,
-                F.element_at(F.split("_source_file", "/"), -1)), st.rows_of(store, table), batch_id)
+                F.element_at(F.split("_source_file", "/"), -1), look_first=True),
+                st.rows_of(store, table), batch_id)
         finally:
             rows.unpersist()
     outcome = [

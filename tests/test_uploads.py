@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from closebooks.operators.skew import numbered_copies
+from closebooks.operators.skew import numbered_copies, numbered_few_copies
 from closebooks.plans import close
 from closebooks.schemas import TABLE_SCHEMAS
 from closebooks.sources import tables
@@ -124,3 +124,36 @@ def test_ids_do_not_depend_on_partitions_and_keep_what_is_given(spark):
     assert len(set(ids)) == 4 and sorted(i[-2:] for i in ids) == ["-1", "-1", "-1", "-2"]
     own = frame.withColumn("id", F.when(F.col("entity").isNull(), "mine"))
     assert "mine" in [r[0] for r in rows(tables.with_row_ids(own, names, F.lit("f")), "id")]
+
+
+def test_only_rows_that_repeat_are_shuffled(spark):
+    def frame(step):
+        return spark.range(600).select(
+            F.when(F.col("id") % step == 0, "again").otherwise(F.col("id").cast("string"))
+            .alias("cell"), F.lit(None).cast("int").alias("none")).repartition(5)
+
+    for step, few in ((100, 10), (1000, 10), (100, 0)):
+        data = frame(step)
+        assert rows(numbered_few_copies(data, ["cell", "none"], "copy", few)) == rows(
+            numbered_copies(data, ["cell", "none"], "copy"))
+    plan = numbered_few_copies(
+        spark.range(9), ["id"], "copy")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_refused_upload_makes_no_ids_and_a_taken_one_hands_back_its_own(
+    spark, books, tmp_path, monkeypatch
+):
+    line = "{},2024-01-01,A,Cash,1,0,E,x"
+    first = put(tmp_path, "0.csv", JOURNAL, line.format("J0"))
+    close.process_upload(spark, first, "journal_entries", database=books)
+    path = put(tmp_path, "j.csv", JOURNAL, *[line.format(k) for k in ("J1", "J1", "")])
+    out = close.process_upload(spark, path, "journal_entries", database=books)
+    assert rows(out.sections["data"], "journal_id") == [("J1",), ("J1",)]
+
+    def no(*args, **kw):
+        raise AssertionError("ids made for rows that are not stored")
+
+    monkeypatch.setattr(tables, "with_row_ids", no)
+    again = close.process_upload(spark, path, "journal_entries", database=books)
+    assert again.status == "error" and rows(again.sections["existing_keys"]) == [("J1",)]
