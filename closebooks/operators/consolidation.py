@@ -129,8 +129,8 @@ def net_amount() -> Column:
     return F.col("debit") - F.col("credit")
 
 
-def _sides(tb: DataFrame, cells: DataFrame, order: str | None) -> DataFrame:
-    """account, cell, own_size, other_size, net: the trial balance beside what refers to it.
+def _beside(tb: DataFrame, cells: DataFrame, order: str | None) -> DataFrame:
+    """at, of, size, net, cell, own: the trial balance beside what refers to it.
 
     `cells` are reduced intercompany rows with entity, counterparty and account. Each asks
     for |net| of the first trial-balance row of its two sides; the balance is cut to one row
@@ -140,8 +140,9 @@ def _sides(tb: DataFrame, cells: DataFrame, order: str | None) -> DataFrame:
     """
     by = F.col(order) if order else F.struct("debit", "credit")
     first = F.min_by(F.abs(F.coalesce(net_amount(), F.lit(0))), by)
-    balance = tb.filter(F.col("account").isNotNull()).groupBy("entity", "account").agg(
-        F.when(F.col("entity").isNotNull(), first).alias("size"), total(net_amount()).alias("net"))
+    keyed = F.col("entity").isNotNull() & F.col("account").isNotNull()
+    balance = tb.groupBy("entity", "account").agg(
+        F.when(keyed, first).alias("size"), total(net_amount()).alias("net"))
     cell = F.struct(*cells.columns)
     asks = (F.col("entity").isNotNull() & F.col("counterparty").isNotNull()
             & F.col("account").isNotNull())
@@ -158,16 +159,28 @@ def _sides(tb: DataFrame, cells: DataFrame, order: str | None) -> DataFrame:
     both = balance.select(
         F.col("entity").alias("at"), F.col("account").alias("of"), "size", "net",
     ).unionByName(asked, allowMissingColumns=True)
-    sized = both.withColumn("size", F.max("size").over(W.partitionBy("at", "of")))
+    return both.withColumn("size", F.max("size").over(W.partitionBy("at", "of")))
+
+
+def _sides(beside: DataFrame) -> DataFrame:
+    """account, cell, own_size, other_size, net: each cell with both its sides."""
     account = F.coalesce(F.col("cell.account"), F.col("of"))
-    return sized.groupBy(account.alias("account"), "cell").agg(
+    known = beside.filter(F.col("cell").isNotNull() | F.col("of").isNotNull())
+    return known.groupBy(account.alias("account"), "cell").agg(
         F.max(F.when(F.col("own"), F.col("size"))).alias("own_size"),
         F.max(F.when(~F.col("own"), F.col("size"))).alias("other_size"),
         F.sum("net").alias("net"))
 
 
-def _triples(ic: DataFrame) -> DataFrame:
-    return ic.groupBy("entity", "counterparty", "account").agg(count_rows().alias("entries"))
+def elimination_cells(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
+    """The trial balance beside the intercompany table, each reduced to its keys.
+
+    All rows of an (entity, counterparty, account) eliminate the same amount, so the
+    intercompany table is reduced to such triples before it meets the trial balance. All that
+    a consolidation says but the single eliminations follows from these rows.
+    """
+    triples = ic.groupBy("entity", "counterparty", "account").agg(count_rows().alias("entries"))
+    return _beside(tb, triples, order)
 
 
 def _eliminated() -> tuple[Column, Column]:
@@ -178,13 +191,13 @@ def _eliminated() -> tuple[Column, Column]:
 
 
 def elimination_totals(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
-    """Eliminations per (entity, counterparty, account): entries, amount of each, sum.
+    """Eliminations per (entity, counterparty, account): entries, amount of each, sum."""
+    return totals_of_cells(elimination_cells(tb, ic, order))
 
-    All rows of such a triple eliminate the same amount, so the intercompany table is
-    reduced to triples by partial aggregation before it meets the trial balance.
-    """
+
+def totals_of_cells(cells: DataFrame) -> DataFrame:
     each, eliminated = _eliminated()
-    return _sides(tb, _triples(ic), order).filter(each.isNotNull()).select(
+    return _sides(cells).filter(each.isNotNull()).select(
         "cell.entity", "cell.counterparty", "account", "cell.entries",
         each.alias("elimination_amount"), eliminated.alias("eliminated"))
 
@@ -201,7 +214,11 @@ def tb_of_stored(stored: DataFrame, balance: str = "closing") -> DataFrame:
 
 def tb_eliminations(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
     """One elimination per intercompany row whose both sides are in the trial balance."""
-    amounts = elimination_totals(tb, ic, order).select(
+    return eliminations_of_cells(elimination_cells(tb, ic, order), ic)
+
+
+def eliminations_of_cells(cells: DataFrame, ic: DataFrame) -> DataFrame:
+    amounts = totals_of_cells(cells).select(
         "entity", "counterparty", "account", "elimination_amount"
     )
     rows = ic.select("entity", "counterparty", "account")
@@ -216,8 +233,12 @@ def _account_net() -> Column:
 
 def consolidated_tb(tb: DataFrame, ic: DataFrame, order: str | None = None) -> DataFrame:
     """Net per account over all entities, less everything eliminated on the account."""
+    return tb_of_cells(elimination_cells(tb, ic, order))
+
+
+def tb_of_cells(cells: DataFrame) -> DataFrame:
     return (
-        _sides(tb, _triples(ic), order).filter(F.col("account").isNotNull())
+        _sides(cells).filter(F.col("account").isNotNull())
         .groupBy("account").agg(_account_net().alias("net_amount"))
         .filter(F.col("net_amount").isNotNull())
     )
@@ -238,7 +259,7 @@ def ledger_counts(
         "entity", "counterparty", "account",
         F.when(~paired, F.col("journal_id")).alias("journal"),
     ).agg(count_rows().alias("entries"), total("amount").alias("amount"))
-    rows = _sides(tb, cells, order).select(
+    rows = _sides(_beside(tb, cells, order)).select(
         "account", "cell", "own_size", "other_size", "net",
         F.when(F.col("cell.counterparty").isNotNull(), F.col("cell.entity")).alias("entity"),
         F.col("cell.counterparty").alias("counterparty"), F.col("cell.journal").alias("journal"),
@@ -297,10 +318,18 @@ def bs_balance(ctb: DataFrame, tolerance: Decimal = V.MONEY_TOLERANCE) -> DataFr
 
 def unlinked_entities(ic: DataFrame, tb: DataFrame) -> DataFrame:
     """Entities of the intercompany data that the trial balance does not know."""
-    def entities(df: DataFrame) -> DataFrame:
-        return df.select("entity").filter(F.col("entity").isNotNull())
+    return _unlinked(ic.select("entity"), tb.select("entity"))
+
+
+def unlinked_of_cells(cells: DataFrame) -> DataFrame:
+    cell = F.col("cell")
+    return _unlinked(cells.filter(cell.isNotNull()).select("cell.entity"),
+                     cells.filter(cell.isNull()).select(F.col("at").alias("entity")))
+
 
-    both = key_presence(entities(ic), entities(tb), ["entity"])
+def _unlinked(ours: DataFrame, known: DataFrame) -> DataFrame:
+    named = F.col("entity").isNotNull()
+    both = key_presence(ours.filter(named), known.filter(named), ["entity"])
     return both.filter(F.col("in_left") & ~F.col("in_right")).select("entity")
 
 

@@ -200,3 +200,58 @@ def test_questions_in_rounds_and_tiles_and_ties(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_QUESTIONS", 20)
     assert rows(vectors.vector_top_k_rounds(df, asked, 4)) == sorted(
         want, key=lambda r: tuple(map(str, r)))
+
+
+def test_sections_of_a_consolidation_read_their_tables_once(stored):
+    parts = close.consolidate(stored["trial_balance"], stored["interco"])
+    try:
+        for name, df in parts.items():
+            scans = [x.nodeName() for x in leaves(df)]
+            tables = [x for x in scans if not x.startswith("InMemoryTableScan")]
+            assert len(tables) == (name == "eliminations"), (name, scans)
+    finally:
+        parts["cells"].unpersist()
+
+
+def test_sections_of_a_consolidation_equal_the_operators(spark):
+    tb = spark.createDataFrame(
+        [("A", "Cash", money("9"), money("0")), ("A", "Cash", money("5"), money("1")),
+         ("B", "Cash", money("0"), money("3")), (None, "Cash", money("2"), money("0")),
+         ("E", None, money("7"), money("0")), (None, None, money("7"), None)],
+        "entity string, account string, debit decimal(15,2), credit decimal(15,2)")
+    ic = spark.createDataFrame(
+        [("A", "B", "Cash"), ("A", "B", "Cash"), ("B", "A", "Odd"), ("D", "A", "Cash"),
+         ("E", None, "Cash"), (None, "B", "Cash"), ("A", "E", None), (None, None, None)],
+        "entity string, counterparty string, account string")
+    parts = close.consolidate(tb, ic)
+    try:
+        assert rows(parts["consolidated_trial_balance"]) == rows(
+            consolidation.consolidated_tb(tb, ic)) == [("Cash", money("6.00"))]
+        assert rows(parts["eliminations"]) == rows(consolidation.tb_eliminations(tb, ic)) == [
+            ("A", "B", "Cash", money("3.00"))] * 2
+        assert rows(parts["elimination_totals"]) == rows(
+            consolidation.elimination_totals(tb, ic))
+        # E is known by a row without an account.
+        assert rows(parts["unlinked_entities"]) == rows(
+            consolidation.unlinked_entities(ic, tb)) == [("D",)]
+    finally:
+        parts["cells"].unpersist()
+
+
+def test_stored_views_are_joined_once(spark, views):
+    from closebooks.plans.jobs_registry import INTERCO, with_stored
+
+    kept = with_stored(views, interco=INTERCO, postings=["*"])
+    for name in ("trial_balance", "journals", "provision_planning", "provision_history"):
+        assert len(leaves(getattr(kept, name))) == 1, name
+        assert rows(getattr(kept, name)) == rows(getattr(views, name)), name
+
+
+def test_orders_meet_their_customers_before_the_lines(views):
+    text = views.interco._jdf.queryExecution().optimizedPlan().toString()
+    lines, orders, customer = (re.search(rf"{n}#\d+", text) for n in (
+        "l_orderkey", "o_orderkey", "c_custkey"))
+    depth = {n: next(len(re.match(r"[ :+\-]*", x).group()) for x in text.splitlines()
+                     if "Relation" in x and n in x) for n in ("l_orderkey", "o_orderkey", "c_custkey")}
+    assert lines and orders and customer
+    assert depth["l_orderkey"] < depth["o_orderkey"] == depth["c_custkey"]
