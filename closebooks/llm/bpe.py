@@ -14,6 +14,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_END = "</w>"
-CACHE = 300_000  # pieces that a worker remembers, and as many older ones
+CACHE = 100_000  # pieces that a worker remembers, and as many older ones
 SLICE = 256  # texts encoded at a time
-PAIRS = 1_000_000  # of the pair table
+PAIRS = 250_000  # of the pair table
 STOPS = frozenset(".,!?;:")  # pieces of their own after a word
 CACHED_CHARS = 64  # longer pieces are not remembered
 
@@ -218,10 +219,15 @@ _loaded: dict[str, Bpe] = {}
 
 
 def loaded(spec: bytes) -> Bpe:
-    """The tokenizer of a file's content, built once a worker."""
+    """The tokenizer of a file's content, built once a worker.
+
+    Workers are used again; what an earlier step left in one is given back first.
+    """
     key = hashlib.sha256(spec).hexdigest()
     if key not in _loaded:
         _loaded.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _loaded[key] = Bpe(spec)
     return _loaded[key]
 
@@ -253,6 +259,8 @@ def _encode(spec, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         offsets, pa.array(np.concatenate(ids), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cells, names=names)
+                del cells, ids, part
+            del batch  # before the next one is read
 
     return run
 
