@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from closebooks.operators import consolidation, gst, interco, provisions, reporting, tds, vectors
 from closebooks.plans import close
+from closebooks.sources import tables
 from tests.conftest import money, rows
 
 AS_OF = date(2001, 6, 30)
@@ -161,6 +163,34 @@ def test_counts_are_observed_as_listings_are_written(views, tmp_path):
         close.store_audit_data({}, str(tmp_path / "none"))
 
 
+def test_listings_are_stored_small_and_read_back_whole(spark, tmp_path):
+    data = [(f"{i}-{i % 7}", f"J{i}", None if i % 5 == 0 else date(2001, 1, 1 + i % 28),
+             None if i % 9 == 0 else money(f"{i}.25")) for i in range(4000)]
+    data += data[:10] + [(None, None, None, None)]
+    df = tables.conform(spark.createDataFrame(
+        data, "id string, journal_id string, transaction_date date, debit_amount decimal(15,2)"),
+        "journal_entries").repartition(5)
+    stored = close.store_audit_data({"journal_entries": df}, str(tmp_path / "audit"))
+    assert rows(stored["counts"]) == [("journal_entries", 4011, True)]
+    assert rows(stored["journal_entries"]) == rows(df)
+    files = list((tmp_path / "audit" / "journal_entries").glob("*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+    assert groups and {g.column(0).compression for g in groups} == {"ZSTD"}
+    assert any("DELTA_BYTE_ARRAY" in g.column(0).encodings for g in groups)
+
+
+def test_stored_audit_joins_its_postings_once(spark, views, monkeypatch):
+    from closebooks.plans import jobs_registry
+
+    seen = {}
+    monkeypatch.setattr(close, "store_audit_data",
+                        lambda sources, folder: seen.update(sources) or {"counts": None})
+    jobs_registry.JOB_QUERIES["job_store_audit"](views)
+    for name in ("journal_entries", "consolidation", "provision_planning"):
+        assert len(leaves(seen[name])) == 1, name
+        assert rows(seen[name]) == rows(jobs_registry._table_rows(views, name)), name
+
+
 def test_many_questions_in_one_pass(spark, monkeypatch):
     data = [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [3.0, 4.0]), (4, None), (5, [0.0, 0.0]),
             (6, [0.0]), (7, [0.0, None]), (8, [float("nan"), 0.0])]
