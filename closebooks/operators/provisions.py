@@ -19,6 +19,9 @@ from closebooks.operators import cells as ce
 from closebooks.operators.issues import Check, issue_rows
 
 NO_DAY = 2**31 - 1  # place of rows without a period: after all others
+SLOTS = 65_536  # that the groups of a history are counted by
+LARGE_SLOT = 500_000  # rows of one slot that a task walks through, at most
+_SERIES = ["expense_ledger", "vendor"]  # whose amounts follow each other
 
 
 def _frequency_counts() -> list[Column]:
@@ -209,38 +212,89 @@ def provision_issues(p: DataFrame) -> DataFrame:
     return issue_rows(p, keys, checks).drop("expected", "actual")
 
 
-def provision_spikes(history: DataFrame, percent: float = V.SPIKE_PERCENT) -> DataFrame:
+def provision_spikes(
+    history: DataFrame, percent: float = V.SPIKE_PERCENT, large: int = LARGE_SLOT
+) -> DataFrame:
     """Amounts more than `percent` above the preceding one of the same ledger and vendor.
 
     Rows follow by period; within a period by the digest of their key, an arbitrary but
     repeatable order. The change is taken against the last known amount, while
     previous_amount is the amount (known or not) of the last row of an earlier period.
-    A rise from zero is a spike without a percentage. NaN is an unknown amount.
+    A rise from zero is a spike without a percentage. NaN is an unknown amount. A row
+    without a key comes first in its period and is not reported itself.
 
-    A period of a group is always cut into 256 buckets of that order, so that no group is
-    one task's work. Each bucket starts from what an aggregate of the buckets before it
-    carries over; the windows across buckets run over one row per bucket.
+    A job first counts the rows of the groups' hash slots. Groups of a slot with more than
+    `large` rows are cut, so that none is one task's work; the others are dealt and sorted
+    once. Both give the same answer.
     """
-    group = ["expense_ledger", "vendor"]
-    bucket = [*group, "day", "bucket"]
+    named = history.filter(F.col("expense_ledger").isNotNull() & F.col("vendor").isNotNull())
+    slot = F.pmod(F.xxhash64(*_SERIES), F.lit(SLOTS))
+    full = [r["slot"] for r in named.groupBy(slot.alias("slot")).agg(count_rows().alias("n"))
+            .filter(F.col("n") > large).collect()]
+    if not full:
+        stepped = _stepped_whole(_placed(named))
+    else:
+        cut = slot.isin(full)
+        stepped = _stepped_whole(_placed(named.filter(~cut))).unionByName(
+            _stepped_in_buckets(_placed(named.filter(cut))))
+    period = F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day"))
+    amount, known = F.col("amount"), F.col("known")
+    change = F.when(known != 0, (amount / known - 1) * 100)
+    spike = ((known == 0) & (amount > 0)) | (change > percent)
+    return stepped.filter(amount.isNotNull() & spike).select(
+        *_SERIES, period.alias("period"), "amount", "previous_amount", change.alias("pct_change")
+    )
+
+
+def _placed(named: DataFrame) -> DataFrame:
+    """The rows with their day and `ord`, the place within it."""
     amount = F.col("amount").cast("double")
-    digest = F.md5(F.col("rid").cast("binary"))
-    # Dealt by bucket once: the windows and the aggregate below both find their rows together.
-    rows = history.filter(
-        F.col("expense_ledger").isNotNull() & F.col("vendor").isNotNull()
-    ).select(
-        *group, F.when(~F.isnan(amount), amount).alias("amount"),
+    return named.select(
+        *_SERIES, F.when(~F.isnan(amount), amount).alias("amount"),
         F.coalesce(F.unix_date("period"), F.lit(NO_DAY)).alias("day"),
-        F.left(digest, F.lit(2)).alias("bucket"), F.unhex(digest).alias("ord"),
-    ).repartition(*bucket).withColumn(
-        "place", F.struct("ord", F.col("amount").isNotNull(), "amount"))
+        F.unhex(F.md5(F.col("rid").cast("binary"))).alias("ord"),
+    )
+
+
+def _place() -> Column:
+    return F.struct("ord", F.col("amount").isNotNull(), "amount")
+
+
+def _stepped_whole(rows: DataFrame) -> DataFrame:
+    """Rows with `known` and previous_amount, from windows over whole groups.
 
+    The rows are sorted by a hash of their group first, which seldom needs its texts.
+    """
+    by = W.partitionBy("group_hash", *_SERIES)
+    before = by.orderBy("day", "ord", F.col("amount").isNotNull(), "amount").rowsBetween(
+        W.unboundedPreceding, -1)
+    earlier = by.orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    columns = [*_SERIES, "day", "ord", "amount", "known"]
+    return (
+        rows.repartition(*_SERIES).withColumn("group_hash", F.xxhash64(*_SERIES))
+        .withColumn("known", F.last("amount", ignorenulls=True).over(before))
+        .select(*columns, F.max_by("amount", F.struct("day", _place())).over(earlier)
+                .alias("previous_amount"))
+        .filter(F.col("ord").isNotNull()).drop("ord")
+    )
+
+
+def _stepped_in_buckets(placed: DataFrame) -> DataFrame:
+    """The same, with each period of a group cut into 256 buckets of its order.
+
+    Each bucket starts from what an aggregate of the buckets before it carries over; the
+    windows across buckets run over one row per bucket.
+    """
+    bucket = [*_SERIES, "day", "bucket"]
+    # Dealt by bucket once: the windows and the aggregate below both find their rows together.
+    rows = placed.withColumn("bucket", F.left(F.hex("ord"), F.lit(2))).repartition(
+        *bucket).withColumn("place", _place())
     ends = rows.groupBy(*bucket).agg(
         F.max_by("amount", F.when(F.col("amount").isNotNull(), F.col("place"))).alias("known"),
         F.max_by("amount", "place").alias("any"),
     )
-    by_bucket = W.partitionBy(*group).orderBy("day", "bucket")
-    by_day = W.partitionBy(*group).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    by_bucket = W.partitionBy(*_SERIES).orderBy("day", "bucket")
+    by_day = W.partitionBy(*_SERIES).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
     carried = ends.select(
         *bucket,
         F.last("known", ignorenulls=True)
@@ -250,16 +304,9 @@ def provision_spikes(history: DataFrame, percent: float = V.SPIKE_PERCENT) -> Da
     before = W.partitionBy(*bucket).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     stepped = rows.select(
         *bucket, "amount", F.last("amount", ignorenulls=True).over(before).alias("known"))
-    period = F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day"))
-    joined = stepped.join(carried, bucket).select(
-        *group, period.alias("period"), "amount", "previous_amount",
-        F.coalesce("known", "known_before").alias("known"))
-    amount, known = F.col("amount"), F.col("known")
-    change = F.when(known != 0, (amount / known - 1) * 100)
-    spike = ((known == 0) & (amount > 0)) | (change > percent)
-    return joined.filter(amount.isNotNull() & spike).select(
-        *group, "period", "amount", "previous_amount", change.alias("pct_change")
-    )
+    return stepped.join(carried, bucket).select(
+        *_SERIES, "day", "amount", F.coalesce("known", "known_before").alias("known"),
+        "previous_amount")
 
 
 def repeating_expenses(

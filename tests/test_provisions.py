@@ -136,6 +136,29 @@ def test_spikes_with_a_repeated_key_and_nulls_of_one_period(spark):
     assert rows(pr.provision_spikes(h), "previous_amount") == [(-5.0,)]
 
 
+def test_spikes_of_small_groups_are_dealt_once_and_equal_those_of_cut_ones(spark):
+    import random
+
+    rnd = random.Random(11)
+    data = []
+    for i in range(900):
+        vendor = "hot" if i % 2 else f"v{rnd.randint(0, 30)}"
+        period = None if rnd.random() < 0.05 else f"2024-{rnd.randint(1, 5):02d}-01"
+        amount = rnd.choice([None, 0.0, 10.0, 12.5, 20.0, 31.0, -3.0, float("nan")])
+        data.append((rnd.choice("LM"), vendor, period, amount, str(i if i % 5 else i % 15)))
+    h = spark.createDataFrame(
+        [(g, v, p and day(p), a, k) for g, v, p, a, k in data],
+        "expense_ledger string, vendor string, period date, amount double, rid string")
+    want = walked_spikes(data)
+    # No group is cut, only the hot ones are, and all are.
+    for large in (10**6, 150, 0):
+        assert rows(pr.provision_spikes(h, large=large)) == want, large
+    text = pr.provision_spikes(h)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1 and "Join" not in text
+    assert "Join" in pr.provision_spikes(
+        h, large=0)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def walked_spikes(data):
     import hashlib
 
