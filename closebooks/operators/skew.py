@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from closebooks.sources.shared import dropped_shuffles
+
 _HASH = "_join_hash"
 COPIES = 100_000  # of one row that a task writes out
 REPEATED = 100_000  # digests of equal rows that are looked for one by one, at most
@@ -114,7 +116,8 @@ def numbered_few_copies(
     digest = F.xxhash64(*columns)
     repeated = counted_rows(df.select(digest.alias("_digest")), ["_digest"], "_rows").filter(
         F.col("_rows") > 1).select("_digest")
-    found = repeated.limit(few + 1).count()
+    with dropped_shuffles(df.sparkSession):
+        found = repeated.limit(few + 1).count()
     if found > few:
         return numbered_copies(df, columns, number)
     one = F.lit(1).cast("bigint").alias(number)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from closebooks import fixed_values as V
 from closebooks.schemas import TABLE_SCHEMAS
+from closebooks.sources.shared import dropped_shuffles
 
 
 MALFORMED = "_malformed"
@@ -344,7 +345,8 @@ def unreadable_cells(df: DataFrame, kind: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header that `_text_csv` reads back unchanged (line breaks: multi_line)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    with dropped_shuffles(df.sparkSession):
+        df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from closebooks.plans import close, jobs_registry
+from closebooks.sources import tables
 from closebooks.sources.sample_views import SAMPLE_SCHEMAS, SampleViews
+from closebooks.sources.shared import dropped_shuffles
 from tests.conftest import rows
 
 DAY = datetime(2001, 3, 4)
@@ -37,3 +41,42 @@ def test_stored_audit_log_keeps_the_details_of_a_change(spark, sample, tmp_path)
     assert rows(log, "id", "change_details") == want
     stored = close.store_audit_data({"audit_log": log}, str(tmp_path / "audit"))
     assert rows(stored["audit_log"], "id", "change_details") == want
+
+
+def text_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_lines_are_made_after_their_joins(sample):
+    text = text_of(sample.interco_reconciliation)
+    assert "concat_ws" in text and "concat_ws" not in text[text.index("Join"):]
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {files.apply(i).getName() for i in range(files.size())}
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def left_over(spark, before) -> set[str]:
+    for _ in range(50):  # files go a moment after their query
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    return left
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    frame = spark.range(1000).select(
+        F.col("id").cast("string"), F.lit(None).cast("date").alias("transaction_date"))
+    before = shuffle_files(spark)
+    df = tables.conform(frame.repartition(3), "journal_entries")
+    stored = close.store_audit_data({"journal_entries": df}, str(tmp_path / "audit"))
+    assert not left_over(spark, before)
+    assert stored["journal_entries"].count() == 1000
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    with pytest.raises(RuntimeError), dropped_shuffles(spark):
+        assert spark.conf.get(setting) == "true"
+        raise RuntimeError
+    assert spark.conf.get(setting, None) == was
