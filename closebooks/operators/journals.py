@@ -5,12 +5,14 @@ Columns: journal_id, entry_date, account, type (Debit/Credit), amount, entity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebooks.functions.exprs import any_null, count_rows, total, trailing_number
 from closebooks.operators.issues import null_field_counts, null_fields
-from closebooks.operators.skew import lookup_join
+from closebooks.operators.skew import key_presence, lookup_join
 
 FIELDS = ["entry_date", "account", "type", "amount", "entity", "journal_id"]
 
@@ -90,18 +92,23 @@ def journal_missing_field_rows(j: DataFrame) -> DataFrame:
     return null_fields(j, ["journal_id"], FIELDS)
 
 
-def _keys(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).filter(F.col(key).isNotNull()).distinct()
+def _keys(df: DataFrame, key: str, once: bool = True) -> DataFrame:
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    return keys.distinct() if once else keys
 
 
 def journal_existing_keys(
-    batch: DataFrame, stored: DataFrame, key: str = "journal_id"
+    batch: DataFrame, stored: DataFrame, key: str = "journal_id", large: bool = False
 ) -> DataFrame:
     """Keys of the batch that are stored already.
 
     The store is filtered by the keys of the batch, not the other way round: a batch of
     ordinary size is broadcast by Spark, and then the store is scanned but not shuffled.
+    For a `large` one, the keys of both are shuffled once, by one aggregate.
     """
+    if large:
+        seen = key_presence(_keys(batch, key, False), _keys(stored, key, False), [key])
+        return seen.filter(F.col("in_left") & F.col("in_right")).select(key)
     return lookup_join(stored.select(key), _keys(batch, key), [key], "left_semi").distinct()
 
 
@@ -112,19 +119,21 @@ def journal_new_rows(batch: DataFrame, stored: DataFrame, key: str = "journal_id
 
 
 def read_back(
-    batch: DataFrame, stored: DataFrame, key: str = "journal_id",
+    batch: DataFrame, stored: DataFrame | None, key: str = "journal_id",
     order: tuple[str, ...] = ("journal_id", "entry_date"), whole: DataFrame | None = None,
 ) -> DataFrame:
     """Stored rows with a key of the batch, in ascending order, nulls last.
 
     The remaining columns close the sort order, so equal sort keys can be split. `whole` are
     the rows of the batch as they are stored, if they are not among `stored`: they have
-    their own keys, so they are taken without a join.
+    their own keys, so they are taken without a join. Without other rows, `stored` is None.
     """
-    rest = [c for c in stored.columns if c not in order]
-    found = lookup_join(stored, _keys(batch, key), [key], "left_semi").select(*stored.columns)
-    if whole is not None:
-        found = found.unionByName(whole.filter(F.col(key).isNotNull()))
+    parts = [] if whole is None else [whole.filter(F.col(key).isNotNull())]
+    if stored is not None:
+        parts.insert(0, lookup_join(stored, _keys(batch, key), [key], "left_semi")
+                     .select(*stored.columns))
+    found = reduce(DataFrame.unionByName, parts)
+    rest = [c for c in found.columns if c not in order]
     return found.orderBy(
         *[F.col(c).asc_nulls_last() for c in [*order, *rest]]
     )

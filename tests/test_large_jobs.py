@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from closebooks.operators import journals as jn
 from closebooks.plans import close, jobs_registry
 from closebooks.sources import tables
 from closebooks.sources.sample_views import SAMPLE_SCHEMAS, SampleViews
@@ -43,6 +44,25 @@ def test_stored_audit_log_keeps_the_details_of_a_change(spark, sample, tmp_path)
     assert rows(stored["audit_log"], "id", "change_details") == want
 
 
+JOURNAL = ("journal_id,transaction_date,account_code,account_name,debit_amount,credit_amount,"
+           "entity,description\n")
+
+
+def put(path, *keys):
+    path.write_text(JOURNAL + "".join(f"{k},2024-01-01,A,Cash,1,0,E,{n}\n"
+                                      for n, k in enumerate(keys)))
+    return str(path)
+
+
+@pytest.fixture
+def books(spark, request):
+    name = "l_" + "".join(c for c in request.node.name.lower() if c.isalnum())
+    spark.sql(f"drop database if exists {name} cascade")
+    spark.sql(f"create database {name}")
+    tables.create_tables(spark, name)
+    return name
+
+
 def text_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -52,6 +72,41 @@ def test_keys_of_lines_are_made_after_their_joins(sample):
     assert "concat_ws" in text and "concat_ws" not in text[text.index("Join"):]
 
 
+def test_keys_of_a_large_batch_are_found_without_a_join(spark):
+    batch = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("c",)], "journal_id string")
+    stored = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("d",)], "journal_id string")
+    for store in (stored, stored.filter("false")):
+        large = jn.journal_existing_keys(batch, store, large=True)
+        assert "Join" not in text_of(large)
+        assert rows(large) == rows(jn.journal_existing_keys(batch, store))
+    assert rows(jn.journal_existing_keys(batch, stored, large=True)) == [("a",), ("b",)]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_uploads_of_any_size_are_checked_and_handed_back(
+    spark, books, tmp_path, monkeypatch, most
+):
+    monkeypatch.setattr(close, "LARGE_BATCH", most)
+    first = put(tmp_path / "a.csv", "J1", "J1", "", "J2")
+    out = close.process_upload(spark, first, "journal_entries", database=books)
+    assert rows(out.sections["data"], "journal_id") == [("J1",), ("J1",), ("J2",)]
+    # Nothing else is stored: the keys of the batch are not shuffled to look for other rows.
+    assert "Join" not in text_of(out.sections["data"])
+    more = put(tmp_path / "b.csv", "J3", "J4")
+    out = close.process_upload(spark, more, "journal_entries", database=books)
+    assert rows(out.sections["data"], "journal_id") == [("J3",), ("J4",)]
+    old = put(tmp_path / "c.csv", "J5", "J2", "J3", "J3", "")
+    out = close.process_upload(spark, old, "journal_entries", database=books)
+    assert out.status == "error" and rows(out.sections["existing_keys"]) == [("J2",), ("J3",)]
+    # A row of no upload that has a key of the batch is handed back with it.
+    late = spark.createDataFrame([("9", "J1")], "id string, journal_id string")
+    tables.append(late, "journal_entries", books)
+    again = spark.createDataFrame([("J1",)], "journal_id string")
+    back = jn.read_back(again, tables.table_data(spark, f"{books}.journal_entries"),
+                        order=("journal_id", "transaction_date"))
+    assert back.count() == 3
+
+
 def shuffle_files(spark) -> set[str]:
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     names = {files.apply(i).getName() for i in range(files.size())}
