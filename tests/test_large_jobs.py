@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,16 @@ def test_uploads_of_any_size_are_checked_and_handed_back(
     assert back.count() == 3
 
 
+def test_uploads_are_stored_in_small_files(spark, books, tmp_path):
+    path = put(tmp_path / "a.csv", *[f"J{i}" for i in range(3000)])
+    out = close.process_upload(spark, path, "journal_entries", database=books)
+    names = tables.upload_rows(spark, f"{books}.journal_entries", out.upload_id).inputFiles()
+    groups = [pq.ParquetFile(n.removeprefix("file:")).metadata.row_group(0) for n in names]
+    assert groups and {g.column(0).compression for g in groups} == {"ZSTD"}
+    assert any("DELTA_BYTE_ARRAY" in g.column(1).encodings for g in groups)
+    assert out.sections["data"].count() == 3000
+
+
 def shuffle_files(spark) -> set[str]:
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     names = {files.apply(i).getName() for i in range(files.size())}
